@@ -39,7 +39,7 @@ class Codebooks:
         return flat, flat @ flat.T
 
 
-def encode(x: np.ndarray, books: Codebooks, beam: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def encode(x: np.ndarray, books: Codebooks, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, M) of the best sums that a beam search finds, and the squared norms of the sums."""
     m, k, _ = books.words.shape
     flat, cross = books.tables()
@@ -66,7 +66,7 @@ def encode(x: np.ndarray, books: Codebooks, beam: int = 6) -> tuple[np.ndarray,
     return codes[np.arange(n), top], norm[np.arange(n), top]
 
 
-def fit(x: np.ndarray, m: int = 8, k: int = 64, rounds: int = 2, seed: int = 7) -> Codebooks:
+def fit(x: np.ndarray, m: int = 16, k: int = 256, rounds: int = 1, seed: int = 7) -> Codebooks:
     rng = np.random.RandomState(seed)
     residual, words = x.copy(), []
     k = max(1, min(k, len(x)))
@@ -96,7 +96,7 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def build(vectors: DataFrame, sample: int = 8192, m: int = 8, k: int = 64) -> tuple[DataFrame, Codebooks | None]:
+def build(vectors: DataFrame, sample: int = 8192, m: int = 16, k: int = 256) -> tuple[DataFrame, Codebooks | None]:
     """vec_id, embedding, codes, norm for every usable row, and the codebooks."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
     lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -124,7 +124,7 @@ def build(vectors: DataFrame, sample: int = 8192, m: int = 8, k: int = 64) -> tu
     return rows.mapInArrow(run, "vec_id long, embedding array<double>, codes binary, norm double"), books
 
 
-def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, top: int = 10, shortlist: int = 200, query_block: int = 8192) -> DataFrame:
+def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, top: int = 10, shortlist: int = 600, query_block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest rows of ``index`` to each of ``queries`` (vec_id, embedding)."""
     spark = index.sparkSession
     schema = "query_id long, vec_id long, score double"
