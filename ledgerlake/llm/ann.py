@@ -66,7 +66,7 @@ def encode(x: np.ndarray, books: Codebooks, beam: int = 4) -> tuple[np.ndarray,
     return codes[np.arange(n), top], norm[np.arange(n), top]
 
 
-def fit(x: np.ndarray, m: int = 16, k: int = 256, rounds: int = 1, seed: int = 7) -> Codebooks:
+def fit(x: np.ndarray, m: int = 16, k: int = 256, rounds: int = 2, seed: int = 7) -> Codebooks:
     rng = np.random.RandomState(seed)
     residual, words = x.copy(), []
     k = max(1, min(k, len(x)))
@@ -82,11 +82,15 @@ def fit(x: np.ndarray, m: int = 16, k: int = 256, rounds: int = 1, seed: int = 7
         words.append(centres)
     books = Codebooks(np.array(words))
     for _ in range(rounds):
-        codes, _ = encode(x, books)
-        chosen = np.zeros((len(x), m * k))
-        np.put_along_axis(chosen, codes + np.arange(m) * k, 1.0, axis=1)
-        solved = np.linalg.solve(chosen.T @ chosen + 1e-2 * np.eye(m * k), chosen.T @ x + 1e-2 * books.words.reshape(m * k, -1))
-        books = Codebooks(solved.reshape(m, k, -1))
+        # least squares of one codebook at a time: its words become the means of what the others leave
+        codes = np.concatenate([encode(part, books)[0] for part in np.array_split(x, max(1, len(x) // 500))])
+        left = x - sum(books.words[j][codes[:, j]] for j in range(m))
+        for j in range(m):
+            left += books.words[j][codes[:, j]]
+            total, count = np.zeros_like(books.words[j]), np.bincount(codes[:, j], minlength=k)
+            np.add.at(total, codes[:, j], left)
+            books.words[j][count > 0] = total[count > 0] / count[count > 0, None]
+            left -= books.words[j][codes[:, j]]
     return books
 
 
@@ -114,7 +118,7 @@ def build(vectors: DataFrame, sample: int = 8192, m: int = 16, k: int = 256) ->
             column = batch.column("embedding")
             codes, norms = [], []
             x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            for part in np.array_split(x, max(1, len(x) // 2000)):
+            for part in np.array_split(x, max(1, len(x) // 500)):
                 if len(part):
                     c, n = encode(part, books)
                     codes += [r.tobytes() for r in c.astype(np.uint8)]
