@@ -32,6 +32,7 @@ from . import textvec as V
 from .common import table, written
 
 BLOCKS = 256
+PACKED = 500_000  # windows held before they are packed
 SALTS = (0x632BE59BD9B4E019, 0xE220A8397B1DCDAF)
 
 
@@ -148,36 +149,37 @@ def _candidates(docs: DataFrame, sketch, k: int, spread: int, bits: int, buckets
 
         hasher, bitmaps = V.Hasher(), sketch.value
         for batch in batches:
-            found = []
+            found, held = [], 0
             ids = batch.column("row_key").to_numpy()
-            for row, _, data, offsets in V.slices(batch.column("text")):
+            for row, end, data, offsets in V.slices(batch.column("text")):
                 w = Windows(hasher, data, offsets, k, spread)
                 chosen = np.flatnonzero(estimated_repeated(w.gram, bitmaps, bits))
                 if len(chosen):
                     h1, h2 = w.exact(chosen)
                     found.append((h1, h2, ids[row + w.doc[chosen]], (w.at[chosen] - w.first[w.doc[chosen]]).astype(np.int32)))
-            if not found:
-                continue
-            h1, h2, doc, pos = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((h2, h1))
-            same = np.zeros(len(order), dtype=bool)
-            same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-            repeated = np.zeros(len(order), dtype=bool)
-            repeated[order] = same | np.append(same[1:], False)
-            later = np.zeros(len(order), dtype=bool)
-            later[order] = same
-            pos = np.where(repeated, np.int32(-1), pos)  # known to be repeated: only its hash is of use to others
-            keep = np.flatnonzero(~later)
-            bucket = ((h1[keep] >> np.uint64(32)).astype(np.int64) * buckets) >> 32
-            keep = keep[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket)
-            present, at = np.unique(bucket, return_index=True)
-            ends = [*at[1:], len(bucket)]
-            doc = np.where(pos < 0, 0, doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(present.astype(np.int32)), *(pa.array([x[keep[a:b]].tobytes() for a, b in zip(at, ends)], type=pa.binary()) for x in (h1, h2, doc, pos))],
-                names=["bucket", "h1", "h2", "doc", "pos"],
-            )
+                    held += len(chosen)
+                if found and (held >= PACKED or end == batch.num_rows):
+                    yield packed(*(np.concatenate(x) for x in zip(*found)), pa)
+                    found, held = [], 0
+
+    def packed(h1, h2, doc, pos, pa):
+        order = np.lexsort((h2, h1))
+        same = np.zeros(len(order), dtype=bool)
+        same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        repeated, later = (np.zeros(len(order), dtype=bool) for _ in range(2))
+        repeated[order] = same | np.append(same[1:], False)
+        later[order] = same
+        pos = np.where(repeated, np.int32(-1), pos)  # known to be repeated: only its hash is of use to others
+        doc = np.where(repeated, 0, doc)
+        keep = np.flatnonzero(~later)
+        bucket = ((h1[keep] >> np.uint64(32)).astype(np.int64) * buckets) >> 32
+        keep = keep[np.argsort(bucket, kind="stable")]
+        present, at = np.unique(np.sort(bucket), return_index=True)
+        ends = [*at[1:], len(keep)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(present.astype(np.int32)), *(pa.array([x[keep[a:b]].tobytes() for a, b in zip(at, ends)], type=pa.binary()) for x in (h1, h2, doc, pos))],
+            names=["bucket", "h1", "h2", "doc", "pos"],
+        )
 
     return docs.select("row_key", "text").mapInArrow(run, "bucket int, h1 binary, h2 binary, doc binary, pos binary")
 
