@@ -103,8 +103,8 @@ def features(hist: np.ndarray) -> np.ndarray:
 
 
 def dictionaries(docs: list[tuple[Counter, int]], threshold: float, size: int = 16_000) -> tuple[bytes, bytes]:
-    """Text of the words that stand out in toxic documents by at least ``threshold``
-    standard deviations, and of the other words of ordinary documents, the most telling last."""
+    """Two texts: the usual words followed by those that stand out in toxic documents by
+    at least ``threshold`` standard deviations, and the usual words of ordinary documents."""
     df, n = (Counter(), Counter()), [0, 0]
     for words, toxic in docs:
         df[toxic].update(words.keys())
@@ -115,10 +115,14 @@ def dictionaries(docs: list[tuple[Counter, int]], threshold: float, size: int =
         z = (k - total * n[1] / (n[0] + n[1])) / math.sqrt(total * n[1] / (n[0] + n[1]) + 1)
         if k >= 3 and z >= threshold and 2 * k >= total:
             scores.append((z, w))
-    toxic = [w for _, w in sorted(scores)]
-    drop = set(toxic)
-    ordinary = [w for w, _ in sorted(df[0].items(), key=lambda x: (x[1], x[0])) if w not in drop]
-    return tuple(b" " + b" ".join(ws)[-size:] + b" " + CARRIER for ws in (toxic, ordinary))
+    telling = [w for _, w in sorted(scores)]
+    drop = set(telling)
+    texts = []
+    for kind, last in ((1, telling), (0, [])):
+        # what both kinds of text share compresses alike, whatever its language; the telling words stand nearest
+        usual = [w for w, _ in sorted((df[0] + df[1] if kind == 1 else df[0]).items(), key=lambda x: (x[1], x[0])) if w not in drop]
+        texts.append(b" " + b" ".join(usual)[-size:] + b" " + b" ".join(last)[-size:] + b" " + CARRIER)
+    return tuple(texts)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
@@ -132,8 +136,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]], thresholds: tuple = (3.0, 5.0, 8.0, 12.0)) -> Model:
-    """A model from (text, toxic) rows.  Each threshold's dictionaries are built on one half
+def fit(rows: list[tuple[str, int]], thresholds: tuple = (3.0, 5.0, 8.0, 12.0), odds: float | None = None) -> Model:
+    """A model from (text, toxic) rows, for documents whose odds of being toxic are ``odds`` (default: those of the rows).  Each threshold's dictionaries are built on one half
     and tried on the other; the threshold of least logarithmic loss is kept and its curve
     refitted on the differences of unseen halves."""
     import zlib
@@ -141,9 +145,11 @@ def fit(rows: list[tuple[str, int]], thresholds: tuple = (3.0, 5.0, 8.0, 12.0))
     docs, seen = [], set()
     for text, toxic in rows:
         raw = FOLD[np.frombuffer((text or "").encode(), dtype=np.uint8)].tobytes()
-        if (raw, toxic) not in seen:
-            seen.add((raw, toxic))
-            docs.append((raw, Counter(raw.split()), int(toxic), zlib.crc32(raw) & 1))
+        words = raw.split()
+        opening = b" ".join(words[:6])  # near copies mostly share it: they count once and stay in one half
+        if (opening, toxic) not in seen:
+            seen.add((opening, toxic))
+            docs.append((raw, Counter(words), int(toxic), zlib.crc32(opening) & 1))
     y = np.array([d[2] for d in docs], dtype=float)
     halves = np.array([d[3] for d in docs])
     if len(y) == 0 or y.min() == y.max() or any(len(set(y[halves == h])) < 2 for h in (0, 1)):
@@ -170,6 +176,8 @@ def fit(rows: list[tuple[str, int]], thresholds: tuple = (3.0, 5.0, 8.0, 12.0))
         if best is None or loss < best[0]:
             best = (loss, z, _logistic(x, y), mean, scale)
     _, z, w, mean, scale = best
+    if odds:
+        w[-1] += math.log(odds) - math.log(y.mean() / (1 - y.mean()))
     toxic, ordinary = dictionaries([(d[1], d[2]) for d in docs], z)
     return Model(toxic, ordinary, w.tolist(), mean.tolist(), scale.tolist(), float(y.mean()))
 
@@ -181,10 +189,11 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2_000, max_ordinary: int = 4_000) -> Model:
     """Fits on a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = dict(known.groupBy("toxic").count().collect())
     rank = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.where("toxic = 1").orderBy(*rank).limit(max_toxic).unionByName(known.where("toxic = 0").orderBy(*rank).limit(max_ordinary))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * (max_toxic + max_ordinary)).select("text", "toxic").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    return fit([(r[0], r[1]) for r in rows], odds=n.get(1, 0) / n[0] if n.get(0) else None)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
