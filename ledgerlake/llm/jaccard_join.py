@@ -3,10 +3,12 @@
 Tiles are bands of set sizes: with a threshold of t per cent, band b holds the
 sizes whose partners lie in bands b-1 and b only, so tile b (larger set in band
 b) has each set at most twice.  Two sets of a tile that reach the threshold
-differ in at most k elements; the hash space is cut into k + 1 ranges, at least
-one of which holds the same elements in both sets.  The hash of the elements in a
-range is therefore a lossless key: sets that share none cannot be linked.  Sets
-that share one go to a common cluster; within it, bit counts of hashed bitmaps
+differ in at most k elements.  The hash space is cut into somewhat more than k + 1
+ranges, so that nearly every set has elements in more than k of them; of these at
+least one holds the same elements in both sets.  The hash of the elements in a range
+is therefore a lossless key: sets that share none cannot be linked.  (The few sets
+with elements in k ranges or fewer give keys for their empty ranges too.)  Sets that
+share a key go to a common cluster; within it, bit counts of hashed bitmaps
 bound the overlap from above and an intersection of the sorted arrays decides.
 
 * Documents with equal sets are one class from the start (grouped by a digest,
@@ -27,6 +29,8 @@ smallest non-null doc_id.  Repeated rows are returned as often as they occur.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,17 +42,23 @@ BITMAP_WORDS = 16  # 1,024 bits
 
 
 def bands(limit: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest and largest size of each band, and the most elements that two linked sets of its tile differ in."""
-    lows, highs = [], []
+    """Smallest size of each band, the most elements that two linked sets of its tile
+    differ in, and the number of ranges."""
+    lows, differ, parts = [], [], []
     low = 1
     while low <= limit:
         high = max(low, low * 100 // percent)
+        # 100 I >= p U and |x| + |y| = I + U give |x| + |y| - 2 I <= (|x| + |y|) (100 - p) / (100 + p)
+        k = 2 * high * (100 - percent) // (100 + percent)
+        least = -(-low * percent // 100)
+        n = k + 1
+        while k and n < 4 * (k + 1) and n * (1 - math.exp(-least / n)) < k + 1 + 3 * math.sqrt(n * math.exp(-least / n)):
+            n += max(1, n // 64)
         lows.append(low)
-        highs.append(high)
+        differ.append(k)
+        parts.append(n)
         low = high + 1
-    lows, highs = np.array(lows or [1], dtype=np.int64), np.array(highs or [1], dtype=np.int64)
-    # 100 I >= p U and |x| + |y| = I + U give |x| + |y| - 2 I <= (|x| + |y|) (100 - p) / (100 + p)
-    return lows, highs, 2 * highs * (100 - percent) // (100 + percent)
+    return np.array(lows or [1]), np.array(differ or [0]), np.array(parts or [1])
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
@@ -85,7 +95,7 @@ class Sets:
         total = prefix_sums(V.mix(self.grams ^ np.uint64(0x5851F42D4C957F2D)))
         return np.where(self.sizes > 0, V.mix(total[self.first[1:]] - total[self.first[:-1]] + self.sizes.astype(np.uint64)), np.uint64(0))
 
-    def keys(self, docs: np.ndarray, tile: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, docs: np.ndarray, tile: np.ndarray, differ: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the hash ranges of the chosen documents in the given tiles, and the index into docs of each."""
         lengths = self.sizes[docs]
         which = np.repeat(np.arange(len(docs)), lengths)
@@ -98,7 +108,11 @@ class Sets:
         sums = total[cut[1:]] - total[cut[:-1]]
         doc = np.repeat(np.arange(len(docs)), parts)
         index = (np.arange(parts.sum()) - base[doc]).astype(np.uint64)
-        return V.mix(sums + V.mix((tile[doc].astype(np.uint64) << np.uint64(32)) + index + np.uint64(1))), doc
+        held = cut[1:] > cut[:-1]
+        filled = np.bincount(doc[held], minlength=len(docs))
+        use = held | (filled <= differ)[doc]
+        keys = V.mix(sums + V.mix((tile[doc].astype(np.uint64) << np.uint64(32)) + index + np.uint64(1)))
+        return keys[use], doc[use]
 
 
 def bitmaps(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -188,15 +202,14 @@ def _packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFra
                 if not len(docs_):
                     continue
                 size, digest = s.sizes[docs_], s.digests()
-                lows, _, differ = bands(int(size.max()) * 100 // percent + 2, percent)
+                lows, differ, parts = bands(int(size.max()) * 100 // percent + 2, percent)
                 own = np.searchsorted(lows, size, side="right") - 1
                 for band in (own, own + 1):
-                    lower = lows[np.minimum(band, len(lows) - 1)]
-                    parts = differ[np.minimum(band, len(lows) - 1)] + 1
-                    # a tile of one range links equal sets only, which are one class already
-                    use = (band < len(lows)) & (parts > 1) & ((band == own) | (100 * size >= percent * lower))
+                    at_band = np.minimum(band, len(lows) - 1)
+                    # a tile without differences links equal sets only, which are one class already
+                    use = (band < len(lows)) & (differ[at_band] > 0) & ((band == own) | (100 * size >= percent * lows[at_band]))
                     if use.any():
-                        k, at = s.keys(docs_[use], band[use], parts[use])
+                        k, at = s.keys(docs_[use], band[use], differ[at_band[use]], parts[at_band[use]])
                         keys.append(k)
                         owners.append(digest[docs_[use]][at])
             if keys:
