@@ -7,8 +7,15 @@ differ in at most k elements.  The hash space is cut into somewhat more than k +
 ranges, so that nearly every set has elements in more than k of them; of these at
 least one holds the same elements in both sets.  The hash of the elements in a range
 is therefore a lossless key: sets that share none cannot be linked.  (The few sets
-with elements in k ranges or fewer give keys for their empty ranges too.)  Sets that
-share a key go to a common cluster; within it, bit counts of hashed bitmaps
+with elements in k ranges or fewer give keys for their empty ranges too.)
+
+A set with elements in f ranges shares at least f - k keys with any set it links
+with; that number is its ``need``.  Keys of at most ``HOT`` sets give all their
+pairs, and pairs are counted; keys of more sets give a star around their smallest
+set.  A pair stays if its count and the hot keys of either set can reach the need of
+both; a set stays in the stars if its hot keys alone reach its need.  So sets that
+merely share a passage fall away, however many they are, and no link is lost.  What
+is left is gathered in clusters; within it, bit counts of hashed bitmaps
 bound the overlap from above and an intersection of the sorted arrays decides.
 
 * Documents with equal sets are one class from the start (grouped by a digest,
@@ -39,6 +46,8 @@ from . import textvec as V
 from .common import components, table, written
 
 BITMAP_WORDS = 16  # 1,024 bits
+HOT = 16
+SLACK = 1.3  # filled ranges for each k + 1
 
 
 def bands(limit: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +61,7 @@ def bands(limit: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         k = 2 * high * (100 - percent) // (100 + percent)
         least = -(-low * percent // 100)
         n = k + 1
-        while k and n < 4 * (k + 1) and n * (1 - math.exp(-least / n)) < k + 1 + 3 * math.sqrt(n * math.exp(-least / n)):
+        while k and n < 4 * (k + 1) and n * (1 - math.exp(-least / n)) < SLACK * (k + 1) + 3 * math.sqrt(n * math.exp(-least / n)):
             n += max(1, n // 64)
         lows.append(low)
         differ.append(k)
@@ -95,8 +104,8 @@ class Sets:
         total = prefix_sums(V.mix(self.grams ^ np.uint64(0x5851F42D4C957F2D)))
         return np.where(self.sizes > 0, V.mix(total[self.first[1:]] - total[self.first[:-1]] + self.sizes.astype(np.uint64)), np.uint64(0))
 
-    def keys(self, docs: np.ndarray, tile: np.ndarray, differ: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the hash ranges of the chosen documents in the given tiles, and the index into docs of each."""
+    def keys(self, docs: np.ndarray, tile: np.ndarray, differ: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the hash ranges of the chosen documents in the given tiles, the index into docs of each, and the need of each document."""
         lengths = self.sizes[docs]
         which = np.repeat(np.arange(len(docs)), lengths)
         at = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(self.first[docs], lengths)
@@ -110,9 +119,10 @@ class Sets:
         index = (np.arange(parts.sum()) - base[doc]).astype(np.uint64)
         held = cut[1:] > cut[:-1]
         filled = np.bincount(doc[held], minlength=len(docs))
+        need = np.maximum(filled - differ, 1)
         use = held | (filled <= differ)[doc]
         keys = V.mix(sums + V.mix((tile[doc].astype(np.uint64) << np.uint64(32)) + index + np.uint64(1)))
-        return keys[use], doc[use]
+        return keys[use], doc[use], need
 
 
 def bitmaps(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -188,20 +198,20 @@ def _base(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """bucket, and packed (range key, set digest) pairs."""
+    """bucket, and packed (range key, set digest, need) triples."""
 
     def run(batches):
         import pyarrow as pa
 
         hasher = V.Hasher()
         for batch in batches:
-            keys, owners = [], []
+            found = []
             for _, _, data, offsets in V.slices(batch.column("text")):
                 s = Sets(hasher, data, offsets, n)
                 docs_ = np.flatnonzero(s.sizes > 0)
                 if not len(docs_):
                     continue
-                size, digest = s.sizes[docs_], s.digests()
+                size, digest = s.sizes[docs_], s.digests()[docs_]
                 lows, differ, parts = bands(int(size.max()) * 100 // percent + 2, percent)
                 own = np.searchsorted(lows, size, side="right") - 1
                 for band in (own, own + 1):
@@ -209,43 +219,87 @@ def _packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFra
                     # a tile without differences links equal sets only, which are one class already
                     use = (band < len(lows)) & (differ[at_band] > 0) & ((band == own) | (100 * size >= percent * lows[at_band]))
                     if use.any():
-                        k, at = s.keys(docs_[use], band[use], differ[at_band[use]], parts[at_band[use]])
-                        keys.append(k)
-                        owners.append(digest[docs_[use]][at])
-            if keys:
-                pairs = np.column_stack([np.concatenate(keys), np.concatenate(owners)])
-                bucket = (pairs[:, 0] >> np.uint64(32)).astype(np.int64) * buckets >> 32
+                        keys, at, need = s.keys(docs_[use], band[use], differ[at_band[use]], parts[at_band[use]])
+                        found.append((keys, digest[use][at], need[at]))
+            if found:
+                key, owner, need = (np.concatenate(x) for x in zip(*found))
+                need = np.minimum(need, 65535).astype(np.uint16)  # a smaller need loses nothing
+                bucket = (key >> np.uint64(32)).astype(np.int64) * buckets >> 32
                 order = np.argsort(bucket, kind="stable")
-                pairs, bucket = pairs[order], bucket[order]
-                present, at = np.unique(bucket, return_index=True)
+                present, at = np.unique(bucket[order], return_index=True)
                 ends = [*at[1:], len(bucket)]
-                yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), pa.array([pairs[a:b].tobytes() for a, b in zip(at, ends)], type=pa.binary())], names=["bucket", "pairs"])
-
-    return docs.select("text").mapInArrow(run, "bucket int, pairs binary")
-
-
-def _shared(pairs: np.ndarray) -> np.ndarray:
-    """(a, b) digests: the smallest set of each key with every other set of that key."""
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    key, owner = pairs[order, 0], pairs[order, 1]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    pivot = owner[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-    differs = pivot != owner
-    return np.unique(np.column_stack([pivot[differs], owner[differs]]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *(pa.array([x[order[a:b]].tobytes() for a, b in zip(at, ends)], type=pa.binary()) for x in (key, owner, need))], names=["bucket", "keys", "owners", "needs"])
+
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, needs binary")
+
+
+PAIR, STAR, HELD, NEED = range(4)
+
+
+def shared(key: np.ndarray, owner: np.ndarray, need: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, a, b, n): how many keys each pair of sets shares, stars of hot keys, hot keys of each set, needs."""
+    order = np.lexsort((owner, key))
+    key, owner, need = key[order], owner[order], need[order]
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner, need = key[fresh], owner[fresh], need[fresh].astype(np.int64)
+    _, first, size = np.unique(key, return_index=True, return_counts=True)
+    of = np.repeat(size, size)
+    several = of > 1
+    lefts, rights = [], []
+    for d in range(1, HOT):
+        i = np.flatnonzero((key[d:] == key[:-d]) & (of[d:] <= HOT)) if len(key) > d else np.zeros(0, dtype=np.int64)
+        if not len(i):
+            break
+        lefts.append(owner[i])
+        rights.append(owner[i + d])
+    out = []
+
+    def counted(kind: int, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), dtype=bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            at = np.flatnonzero(new)
+            out.append((kind, a[at], b[at], np.diff(np.append(at, len(a)))))
+
+    if lefts:
+        counted(PAIR, np.concatenate(lefts), np.concatenate(rights))
+    hot = of > HOT
+    counted(HELD, owner[hot], np.zeros(hot.sum(), dtype=np.uint64))
+    centre = np.repeat(owner[first], size)
+    arm = hot & (centre != owner)
+    counted(STAR, centre[arm], owner[arm])
+    order = np.lexsort((need[several], owner[several]))
+    o, m = owner[several][order], need[several][order]
+    at = np.flatnonzero(np.append(True, o[1:] != o[:-1])) if len(o) else np.zeros(0, dtype=np.int64)
+    out.append((NEED, o[at], np.zeros(len(at), dtype=np.uint64), m[at]))
+    return out
 
 
 def _candidates(packed: DataFrame) -> DataFrame:
-    """Edges (a, b) between digests of sets that share a key."""
+    """Edges (a, b) between digests of sets that may be linked."""
 
     def run(table):
         import pyarrow as pa
 
-        pairs = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("pairs")]).reshape(-1, 2)
-        edges = _shared(pairs).view(np.int64) if len(pairs) else np.zeros((0, 2), dtype=np.int64)
-        return pa.table({"a": np.ascontiguousarray(edges[:, 0]), "b": np.ascontiguousarray(edges[:, 1])})
-
-    return packed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+        key, owner, need = (np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table.column(c)]) for c, t in (("keys", np.uint64), ("owners", np.uint64), ("needs", np.uint16)))
+        parts = shared(key, owner, need)
+        kind = np.concatenate([np.full(len(a), k, dtype=np.int32) for k, a, _, _ in parts])
+        a, b, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        return pa.table({"kind": kind, "a": a.view(np.int64), "b": b.view(np.int64), "n": n.astype(np.int64)})
+
+    rows = packed.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long")
+    total = written(rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.min("n").alias("least")), "shared")
+    sets = total.where(F.col("kind") == NEED).select("a", F.col("least").alias("need"))
+    held = total.where(F.col("kind") == HELD).select("a", F.col("n").alias("hot"))
+    sets = sets.join(held, "a", "left").select("a", "need", F.coalesce("hot", F.lit(0)).alias("hot"))
+    left, right = (sets.select(F.col("a").alias(c), F.col("need").alias(f"need_{c}"), F.col("hot").alias(f"hot_{c}")) for c in "ab")
+    pairs = total.where(F.col("kind") == PAIR).join(left, "a").join(right, "b")
+    pairs = pairs.where(F.col("n") >= F.greatest("need_a", "need_b") - F.least("hot_a", "hot_b")).select("a", "b")
+    stars = total.where(F.col("kind") == STAR).join(right, "b").where("hot_b >= need_b").select("a", "b")
+    return pairs.unionByName(stars)
 
 
 def _arrays(docs: DataFrame, n: int) -> DataFrame:
