@@ -307,7 +307,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
         encoder = Encoder(Vocabulary(*shared.value))
         for batch in batches:
             null = batch.column("text").is_null()
-            for row, end, data, offsets in V.slices(batch.column("text"), 4 << 20):
+            for row, end, data, offsets in V.slices(batch.column("text"), 2 << 20):
                 ids, at = encoder.encode(data, offsets)
                 some = np.diff(offsets) > 0
                 marked = np.insert(data, offsets[:-1][some], 32)

@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         for batch in batches:
             out = np.full(batch.num_rows, model.prior)
             if dist is not None:
-                for row, end, data, offsets in V.slices(batch.column("text"), 8 << 20):
+                for row, end, data, offsets in V.slices(batch.column("text"), 2 << 20):
                     x = (features(dist.histogram(data, offsets)) - mean) / scale
                     out[row:end] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out)], names=[*names, "toxicity"])
