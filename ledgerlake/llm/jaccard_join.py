@@ -47,6 +47,7 @@ from .common import components, table, written
 
 BITMAP_WORDS = 16  # 1,024 bits
 HOT = 16
+PACKED = 500_000  # keys held before they are packed
 SLACK = 1.3  # filled ranges for each k + 1
 
 
@@ -205,14 +206,12 @@ def _packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFra
 
         hasher = V.Hasher()
         for batch in batches:
-            found = []
-            for _, _, data, offsets in V.slices(batch.column("text")):
+            found, waiting = [], 0
+            for _, end, data, offsets in V.slices(batch.column("text")):
                 s = Sets(hasher, data, offsets, n)
                 docs_ = np.flatnonzero(s.sizes > 0)
-                if not len(docs_):
-                    continue
                 size, digest = s.sizes[docs_], s.digests()[docs_]
-                lows, differ, parts = bands(int(size.max()) * 100 // percent + 2, percent)
+                lows, differ, parts = bands(int(size.max(initial=1)) * 100 // percent + 2, percent)
                 own = np.searchsorted(lows, size, side="right") - 1
                 for band in (own, own + 1):
                     at_band = np.minimum(band, len(lows) - 1)
@@ -220,15 +219,18 @@ def _packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFra
                     use = (band < len(lows)) & (differ[at_band] > 0) & ((band == own) | (100 * size >= percent * lows[at_band]))
                     if use.any():
                         keys, at, need = s.keys(docs_[use], band[use], differ[at_band[use]], parts[at_band[use]])
-                        found.append((keys, digest[use][at], need[at]))
-            if found:
-                key, owner, need = (np.concatenate(x) for x in zip(*found))
-                need = np.minimum(need, 65535).astype(np.uint16)  # a smaller need loses nothing
-                bucket = (key >> np.uint64(32)).astype(np.int64) * buckets >> 32
-                order = np.argsort(bucket, kind="stable")
-                present, at = np.unique(bucket[order], return_index=True)
-                ends = [*at[1:], len(bucket)]
-                yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *(pa.array([x[order[a:b]].tobytes() for a, b in zip(at, ends)], type=pa.binary()) for x in (key, owner, need))], names=["bucket", "keys", "owners", "needs"])
+                        found.append((keys, digest[use][at], np.minimum(need, 65535).astype(np.uint16)[at]))  # a smaller need loses nothing
+                        waiting += len(keys)
+                if found and (waiting >= PACKED or end == batch.num_rows):
+                    yield packed(*(np.concatenate(x) for x in zip(*found)), pa)
+                    found, waiting = [], 0
+
+    def packed(key, owner, need, pa):
+        bucket = (key >> np.uint64(32)).astype(np.int64) * buckets >> 32
+        order = np.argsort(bucket, kind="stable")
+        present, at = np.unique(bucket[order], return_index=True)
+        ends = [*at[1:], len(bucket)]
+        return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *(pa.array([x[order[a:b]].tobytes() for a, b in zip(at, ends)], type=pa.binary()) for x in (key, owner, need))], names=["bucket", "keys", "owners", "needs"])
 
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, needs binary")
 
@@ -326,7 +328,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int = 4096,
     base = written(_base(docs, n), "base")
     classes = base.where("key is not null").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     elements = base.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = int(max(8, elements // 2_000_000))
+    buckets = int(max(8, elements // 1_000_000))
     near = written(components(written(_candidates(_packed_keys(docs, n, percent, buckets)), "candidates")).withColumnRenamed("root", "cluster"), "near")
     # one document of each class that shares a key; where these are few the text need not be shuffled
     one = base.join(near.select(F.col("node").alias("key"), "cluster"), "key").groupBy("key", "cluster").agg(F.min("doc_id").alias("doc_id"))
