@@ -135,8 +135,11 @@ def pareto(transactions: DataFrame, customers: DataFrame) -> DataFrame:
     """Q6: revenue concentration; the running share is a window, not a recursion."""
     per = transactions.where("status = 'completed'").join(customers.select("customer_id", "name"), "customer_id").groupBy("customer_id", "name").agg(F.round(money("amount"), 2).alias("rev"))
     every, order = W.partitionBy(F.lit(0)), W.partitionBy(F.lit(0)).orderBy(F.desc("rev"), "customer_id")
-    pct = F.round(100 * F.col("rev") / F.nullif(F.sum("rev").over(every), F.lit(0)), 4).cast("decimal(18,4)")
-    per = per.withColumns({"pct": pct, "revenue_rank": F.row_number().over(order)})
+    # whole numbers, as a quotient of decimals would be rounded twice
+    cents = (F.col("rev") * 100).cast("decimal(24,0)")
+    per = per.withColumns({"_c": cents, "revenue_rank": F.row_number().over(order)}).withColumn("_total", F.nullif(F.sum("_c").over(every), F.lit(0)))
+    pct = (F.expr("(_c * cast(2000000 as decimal(7,0)) + _total) div (2 * _total)") / 10000).cast("decimal(18,4)")
+    per = per.withColumn("pct", pct)
     per = per.withColumns({"cum": F.sum("pct").over(order.rowsBetween(W.unboundedPreceding, 0)), "h": F.sum(F.col("pct").cast("double") * F.col("pct").cast("double")).over(every)})
     segment = F.when(F.col("cum") <= 50, "Top 50%").when(F.col("cum") <= 80, "Top 80%").when(F.col("cum") <= 90, "Top 90%").otherwise("Tail")
     return per.select("customer_id", "name", F.col("rev").cast("double").alias("total_revenue"), F.col("pct").cast("double").alias("revenue_pct"), "revenue_rank", F.col("cum").cast("double").alias("cumulative_pct"), segment.alias("segment"), (F.col("pct") > 5).cast("int").alias("concentration_flag"), F.round(F.col("h") / 100, 2).alias("hhi"))

@@ -47,7 +47,7 @@ def calendar(spark: SparkSession, start: str = "2021-01-01", end: str = "2026-12
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """source (file name), text (whole file)."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
+    return spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
 
 
 def labelled_sql(text: str) -> dict[str, str]:
