@@ -195,7 +195,7 @@ def _base(docs: DataFrame, n: int) -> DataFrame:
             size, digest = np.concatenate(sizes), np.concatenate(digests).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest, mask=size == 0)], names=["doc_id", "n_shingles", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.select("doc_id", "text").mapInArrow(V.frugal(run), "doc_id long, n_shingles long, key long")
 
 
 def _packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFra
         ends = [*at[1:], len(bucket)]
         return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *(pa.array([x[order[a:b]].tobytes() for a, b in zip(at, ends)], type=pa.binary()) for x in (key, owner, need))], names=["bucket", "keys", "owners", "needs"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, needs binary")
+    return docs.select("text").mapInArrow(V.frugal(run), "bucket int, keys binary, owners binary, needs binary")
 
 
 PAIR, STAR, HELD, NEED = range(4)
@@ -290,6 +290,7 @@ def _candidates(packed: DataFrame) -> DataFrame:
         parts = shared(key, owner, need)
         kind = np.concatenate([np.full(len(a), k, dtype=np.int32) for k, a, _, _ in parts])
         a, b, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        V.settle()
         return pa.table({"kind": kind, "a": a.view(np.int64), "b": b.view(np.int64), "n": n.astype(np.int64)})
 
     rows = packed.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long")
@@ -316,7 +317,7 @@ def _arrays(docs: DataFrame, n: int) -> DataFrame:
                 s = Sets(hasher, data, offsets, n)
                 yield pa.RecordBatch.from_arrays([pa.array(s.digests().view(np.int64)), pa.array([s.grams[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:])], type=pa.binary())], names=["key", "grams"])
 
-    return docs.select("text").mapInArrow(run, "key long, grams binary")
+    return docs.select("text").mapInArrow(V.frugal(run), "key long, grams binary")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int = 4096, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -348,6 +349,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int = 4096,
         order = np.argsort(keys, kind="stable")
         arrays = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("grams")]
         found = links([arrays[i] for i in order], percent, None if len(set(tile.tolist())) < 2 else tile[order])
+        V.settle()
         return pa.table({"a": pa.array([int(keys[order[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(keys[order[j]]) for _, j in found], pa.int64())})
 
     linked = pairs.select("cluster", "key", "grams", "tile", F.col("t.i").alias("i"), F.col("t.j").alias("j")).groupBy("cluster", "i", "j")

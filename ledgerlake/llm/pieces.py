@@ -324,7 +324,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
                     lists = pc.if_else(absent, pa.scalar(None, pa.list_(pa.int32())), lists)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, end - row) for c in keep), lists, pa.array(np.diff(at).astype(np.int64)), pa.array(ok)], names=[*keep, "ids", "n_tokens", "round_trip"])
 
-    return docs.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(run, schema)
+    return docs.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(V.frugal(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -343,7 +343,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             out = [None if ids is None else b"".join(texts[i] for i in ids).decode("utf-8", "replace")[1:] for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "text"])
 
-    return encoded.select(*names).mapInArrow(run, schema)
+    return encoded.select(*names).mapInArrow(V.frugal(run), schema)
 
 
 def op4_sentencepiece(spark, sf_dir) -> DataFrame:

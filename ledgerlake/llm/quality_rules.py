@@ -103,7 +103,7 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
                     names=["doc_id", "host", *COUNTS, "lines", "line_words"],
                 )
 
-    return docs.select("doc_id", F.col(host).alias("host"), "text").mapInArrow(run, f"doc_id long, host string, {', '.join(f'{c} long' for c in COUNTS)}, lines array<long>, line_words array<long>")
+    return docs.select("doc_id", F.col(host).alias("host"), "text").mapInArrow(V.frugal(run), f"doc_id long, host string, {', '.join(f'{c} long' for c in COUNTS)}, lines array<long>, line_words array<long>")
 
 
 def rules(docs: DataFrame, host: str = "source", share: float = 0.2, least_docs: int = 20, left: float = 0.5) -> DataFrame:

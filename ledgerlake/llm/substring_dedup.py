@@ -112,7 +112,7 @@ def _sketches(docs: DataFrame, k: int, spread: int, bits: int) -> DataFrame:
                 inner = (cell & ((1 << per_block) - 1)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array((present + (row << 20)).astype(np.int32)), pa.array([inner[a:b].tobytes() for a, b in zip(at, ends)], type=pa.binary())], names=["block", "cells"])
 
-    return docs.select("text").mapInArrow(run, "block int, cells binary")
+    return docs.select("text").mapInArrow(V.frugal(run), "block int, cells binary")
 
 
 def _merged(sketches: DataFrame, bits: int) -> dict[int, np.ndarray]:
@@ -181,7 +181,7 @@ def _candidates(docs: DataFrame, sketch, k: int, spread: int, bits: int, buckets
             names=["bucket", "h1", "h2", "doc", "pos"],
         )
 
-    return docs.select("row_key", "text").mapInArrow(run, "bucket int, h1 binary, h2 binary, doc binary, pos binary")
+    return docs.select("row_key", "text").mapInArrow(V.frugal(run), "bucket int, h1 binary, h2 binary, doc binary, pos binary")
 
 
 def _unique(candidates: DataFrame) -> DataFrame:
@@ -197,6 +197,7 @@ def _unique(candidates: DataFrame) -> DataFrame:
         edge[1:-1] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         alone = order[edge[1:] & edge[:-1]]
         alone = alone[pos[alone] >= 0]
+        V.settle()
         return pa.table({"row_key": doc[alone], "pos": pos[alone]})
 
     return candidates.groupBy("bucket").applyInArrow(run, "row_key long, pos int")
@@ -260,7 +261,7 @@ def _dedup(docs: DataFrame, k: int, spread: int, max_cells: int, broadcast_windo
             out = pa.array([x.decode() for x in kept], pa.string()) if text else pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n_words or [[]]).astype(np.int64)), pa.array(np.concatenate(n_removed or [[]]).astype(np.int64)), out], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(V.frugal(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_substring_dedup(spark, sf_dir) -> DataFrame:

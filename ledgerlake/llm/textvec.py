@@ -26,6 +26,30 @@ BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF
 SLICE_BYTES = 1 << 20
 
 
+def settle() -> None:
+    """Gives memory that a worker no longer uses back to the system; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run):
+    """``run`` over batches, settling after each of its results."""
+
+    def wrapped(batches):
+        for out in run(batches):
+            yield out
+            settle()
+        settle()
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     h = h ^ (h >> np.uint64(30))

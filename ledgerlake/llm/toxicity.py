@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
                     out[row:end] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out)], names=[*names, "toxicity"])
 
-    return docs.select(*names, *["text"] * ("text" not in names)).mapInArrow(run, schema)
+    return docs.select(*names, *["text"] * ("text" not in names)).mapInArrow(V.frugal(run), schema)
 
 
 def op3_toxicity(spark, sf_dir) -> DataFrame:
