@@ -1 +1 @@
-"""."""
+"""Operators on tables: cleaning recipes, quality, retrieval, governance, warehouse."""

@@ -1 +1 @@
-"""."""
+"""Analytical plans and the registry of queries."""

@@ -1 +1 @@
-"""."""
+"""Scans."""
