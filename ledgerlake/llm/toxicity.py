@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are built from labelled text: one of the words that
 stand out in toxic documents, one of the words of ordinary documents.  A window
-(one word by default) is compressed with both; the difference of the two lengths
-says which text it resembles.  A logistic curve over a document's distribution of
+(a word, and its beginnings of ``STARTS`` bytes) is compressed with both; the
+difference of the two lengths says which text it resembles, and whether the toxic
+dictionary holds it from end to end is told by the shorter length.  A logistic curve over a document's distribution of
 differences, fitted on documents that the dictionaries have not seen, turns it
 into a score between 0 and 1.
 
@@ -35,7 +36,16 @@ FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or
 #: A string that ends both dictionaries and every window, so that even a short window becomes a compressed block.
 CARRIER = bytes(range(1, 25))
 LEVELS = 26  # differences are clipped to -13 .. 12
+WHOLE = 13  # levels 0 .. 12 of windows that the toxic dictionary holds as they are
 CUTS = (2, 3, 4, 5, 6)
+#: Lengths in bytes of the beginnings of words that count as windows, marked by a byte that no word holds;
+#: insults with changing endings are known by them.
+STARTS = (4, 5, 6, 7)
+MARK = b"_"
+
+
+def starts_of(word: bytes) -> list[bytes]:
+    return [word[:n] + MARK for n in STARTS if len(word) >= n]
 
 
 @dataclass
@@ -59,15 +69,36 @@ class Distances:
             return Z.ZstdCompressor(dict_data=Z.ZstdCompressionDict(raw, dict_type=Z.DICT_TYPE_RAWCONTENT), compression_params=params)
 
         self.a, self.b, self.most = compressor(toxic), compressor(ordinary), most
+        # what a window costs that is one match, with the carrier as another: that of the last word but one
+        known = toxic[: -len(CARRIER)].split()[-2:-1]
+        self.least = len(self.a.compress(b" " + b"".join(known) + b" " + CARRIER))
         self.hasher = V.Hasher()
+        self.begun: dict[bytes, int] = {}
         self.keys, self.values = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8)
 
     def of(self, word: bytes) -> int:
+        """The level of a word: its clipped difference, in a range of its own if it is a match from end to
+        end, so that a telling word is not taken for a longer one that merely shares letters with it."""
+        level = max((self._start(s) for s in starts_of(word)), default=0)
         x = b" " + word + b" " + CARRIER
-        return len(self.b.compress(x)) - len(self.a.compress(x))
+        a = len(self.a.compress(x))
+        d = max(-13, min(12, len(self.b.compress(x)) - a))
+        return max(level, LEVELS + d if d > 0 and a <= self.least else 13 + d)
+
+    def _start(self, start: bytes) -> int:
+        """The level of a word's beginning if it is a match from end to end, else 0."""
+        level = self.begun.get(start)
+        if level is None:
+            x = b" " + start + b" " + CARRIER
+            a = len(self.a.compress(x))
+            d = min(12, len(self.b.compress(x)) - a) if a <= self.least else 0
+            if len(self.begun) >= self.most:
+                self.begun.clear()
+            level = self.begun[start] = LEVELS + d if d > 0 else 0
+        return level
 
     def histogram(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each document the number of windows at each clipped difference."""
+        """For each document the number of windows at each level."""
         data = FOLD[data]
         starts, ends, first = V.word_bounds(data, offsets)
         hashes = self.hasher.words(data, starts, ends)
@@ -78,7 +109,7 @@ class Distances:
         values[known] = self.values[at[known]]
         raw = data.tobytes()
         new = np.flatnonzero(~known)
-        values[new] = [max(-13, min(12, self.of(raw[starts[i] : ends[i]]))) for i in index[new]]
+        values[new] = [self.of(raw[starts[i] : ends[i]]) for i in index[new]]
         if len(self.keys) + len(new) > self.most:
             self.keys, self.values = unique, values
         elif len(new):
@@ -87,11 +118,13 @@ class Distances:
             self.keys, self.values = keys[order], vals[order]
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         n = len(first) - 1
-        return np.bincount(doc * LEVELS + values[inverse] + 13, minlength=n * LEVELS).reshape(n, LEVELS)
+        return np.bincount(doc * (LEVELS + WHOLE) + values[inverse], minlength=n * (LEVELS + WHOLE)).reshape(n, LEVELS + WHOLE)
 
 
 def features(hist: np.ndarray) -> np.ndarray:
     n = hist.sum(axis=1)
+    whole = np.cumsum(hist[:, :LEVELS - 1:-1], axis=1)[:, ::-1]  # whole matches at a difference of at least 0 .. 12
+    hist = hist[:, :LEVELS] + np.pad(hist[:, LEVELS:], ((0, 0), (LEVELS - WHOLE, 0)))
     above = np.cumsum(hist[:, ::-1], axis=1)[:, ::-1]  # windows at a difference of at least the column's
     levels = np.arange(LEVELS) - 13.0
     tops = []
@@ -99,6 +132,7 @@ def features(hist: np.ndarray) -> np.ndarray:
         tops.append(np.where(n >= k, levels[np.maximum((above >= k).sum(axis=1) - 1, 0)], 0.0))
     counts = [above[:, 13 + k] for k in CUTS]
     size = np.maximum(n, 1)
+    counts += [whole[:, k] for k in (1, 2, 3)]
     return np.column_stack([tops[0], (tops[0] + tops[1] + tops[2]) / 3, *[np.log1p(c) for c in counts], *[np.sqrt(c / size) for c in counts], np.log1p(n)])
 
 
@@ -107,7 +141,7 @@ def dictionaries(docs: list[tuple[Counter, int]], threshold: float, size: int =
     at least ``threshold`` standard deviations, and the usual words of ordinary documents."""
     df, n = (Counter(), Counter()), [0, 0]
     for words, toxic in docs:
-        df[toxic].update(words.keys())
+        df[toxic].update(words.keys() | {s for w in words for s in starts_of(w)})
         n[toxic] += 1
     scores = []
     for w, k in df[1].items():
@@ -120,7 +154,7 @@ def dictionaries(docs: list[tuple[Counter, int]], threshold: float, size: int =
     texts = []
     for kind, last in ((1, telling), (0, [])):
         # what both kinds of text share compresses alike, whatever its language; the telling words stand nearest
-        usual = [w for w, _ in sorted((df[0] + df[1] if kind == 1 else df[0]).items(), key=lambda x: (x[1], x[0])) if w not in drop]
+        usual = [w for w, _ in sorted((df[0] + df[1] if kind == 1 else df[0]).items(), key=lambda x: (x[1], x[0])) if w not in drop and not w.endswith(MARK)]
         texts.append(b" " + b" ".join(usual)[-size:] + b" " + b" ".join(last)[-size:] + b" " + CARRIER)
     return tuple(texts)
 
@@ -136,7 +170,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]], thresholds: tuple = (3.0, 5.0, 8.0, 12.0), odds: float | None = None) -> Model:
+def fit(rows: list[tuple[str, int]], thresholds: tuple = (5.0, 12.0), odds: float | None = None) -> Model:
     """A model from (text, toxic) rows, for documents whose odds of being toxic are ``odds`` (default: those of the rows).  Each threshold's dictionaries are built on one half
     and tried on the other; the threshold of least logarithmic loss is kept and its curve
     refitted on the differences of unseen halves."""
@@ -156,7 +190,7 @@ def fit(rows: list[tuple[str, int]], thresholds: tuple = (3.0, 5.0, 8.0, 12.0),
         return Model(prior=float(y.mean()) if len(y) else 0.0)
     best = None
     for z in thresholds:
-        hist = np.zeros((len(docs), LEVELS), dtype=np.int64)
+        hist = np.zeros((len(docs), LEVELS + WHOLE), dtype=np.int64)
         for h in (0, 1):
             dist = Distances(*dictionaries([(d[1], d[2]) for d in docs if d[3] != h], z))
             own = np.flatnonzero(halves == h)
