@@ -70,8 +70,9 @@ class Distances:
 
         self.a, self.b, self.most = compressor(toxic), compressor(ordinary), most
         # what a window costs that is one match, with the carrier as another: that of the last word but one
-        known = toxic[: -len(CARRIER)].split()[-2:-1]
-        self.least = len(self.a.compress(b" " + b"".join(known) + b" " + CARRIER))
+        known = toxic[: -len(CARRIER)]
+        telling = known and not known.endswith(b"  ")  # without telling words nothing is a match of one
+        self.least = len(self.a.compress(b" " + b"".join(known.split()[-2:-1]) + b" " + CARRIER)) if telling else 0
         self.hasher = V.Hasher()
         self.begun: dict[bytes, int] = {}
         self.keys, self.values = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8)
@@ -170,7 +171,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]], thresholds: tuple = (5.0, 12.0), odds: float | None = None) -> Model:
+def fit(rows: list[tuple[str, int]], thresholds: tuple = (3.0, 5.0, 12.0), odds: float | None = None) -> Model:
     """A model from (text, toxic) rows, for documents whose odds of being toxic are ``odds`` (default: those of the rows).  Each threshold's dictionaries are built on one half
     and tried on the other; the threshold of least logarithmic loss is kept and its curve
     refitted on the differences of unseen halves."""
