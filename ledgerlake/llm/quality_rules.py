@@ -106,13 +106,15 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
     return docs.select("doc_id", F.col(host).alias("host"), "text").mapInArrow(V.frugal(run), f"doc_id long, host string, {', '.join(f'{c} long' for c in COUNTS)}, lines array<long>, line_words array<long>")
 
 
-def rules(docs: DataFrame, host: str = "source", share: float = 0.2, least_docs: int = 20, left: float = 0.5) -> DataFrame:
+def rules(docs: DataFrame, host: str = "source", share: float = 0.1, least_docs: int = 5, many_docs: int = 20, left: float = 0.5) -> DataFrame:
     """doc_id, the counts, base_failed, words_left and kept for each row of ``docs``."""
     base = written(_measured(docs, host).withColumn("row", F.monotonically_increasing_id()), "quality")
     lines = base.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     frequent = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
     hosts = base.groupBy("host").agg(F.count("*").alias("docs"))
-    frequent = frequent.join(hosts, frequent.host.eqNullSafe(hosts.host)).where(F.col("n") > share * F.col("docs")).select(F.xxhash64(frequent.host, "line").alias("key"))
+    over = (F.col("n") > many_docs) | (F.col("n") > share * F.col("docs"))
+    frequent = written(frequent.join(hosts, frequent.host.eqNullSafe(hosts.host)).where(over).select(F.xxhash64(frequent.host, "line").alias("key")), "frequent")
+    frequent = F.broadcast(frequent) if frequent.count() <= 1_000_000 else frequent
     removed = lines.withColumn("key", F.xxhash64("host", "line")).join(frequent, "key").groupBy("row").agg(F.sum("words").alias("removed"))
     out = base.drop("lines", "line_words").join(removed, "row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -137,6 +137,17 @@ def test_quality_rules(spark, docs):
     assert got[99] == (0, False) and got[3] == (13, True)
 
 
+@pytest.mark.parametrize("size,holding", [(50, 11), (500, 66), (5000, 50)])
+def test_quality_rules_shared_lines(spark, size, holding):
+    """As often as in the given tables: 11 of 50 and 66 of 500 documents of a source; and a smaller share of a large one."""
+    shared = "the and attion to thanedble the anea"
+    own = lambda i: " ".join(str(i).translate(str.maketrans("0123456789", "abcdefghij")) + "x" * k for k in range(12))
+    rows = [(i, own(i) + ("\n" + shared if i < holding else ""), s) for i in range(size) for s in ("h", None)] + [(size + i, own(size + i) + "\nheld by a few only", "h") for i in range(5)]
+    got = quality_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r["n_words"], r["words_left"]) for r in got if r["doc_id"] < holding} == {(19, 12)}
+    assert {(r["n_words"], r["words_left"]) for r in got if r["doc_id"] >= size} == {(17, 17)}
+
+
 def luhn(d):
     return sum(v if k % 2 == 0 else 2 * v - 9 * (v > 4) for k, v in enumerate(map(int, reversed(d)))) % 10 == 0
 
