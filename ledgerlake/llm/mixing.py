@@ -3,12 +3,14 @@
 Each source's target is its weight's share of all words, at most ``repeats`` times
 its size; what is over goes to the others by weight.  Blocks of equal size are
 allocated to the sources by highest quotients target / (2 s + 1), and a source's
-quota to its shards in the same way.  A shard (documents of one source and hash
+quota to its shards in the same way; what a shard cannot give goes to the source's
+other shards.  A shard (documents of one source and hash
 bucket, in order of a seeded hash) takes its quota as whole passes and a seeded
 run of blocks; documents get the words of theirs that lie in it.
 
-Shards hold about ``shard_tokens`` words whatever the source, so a source with a
-third of all rows is spread over as many tasks as its words need.  The apportionment
+Shards are numbered for each source: a source has one for each ``shard_tokens`` of its
+words, so that one with a third of all rows is spread over as many tasks as its words
+need, and a small one is not scattered over shards of fewer words than a block.  The apportionment
 looks only at the quotients around each party's share, which provably hold the
 border between the last seat and the next.
 
@@ -77,26 +79,34 @@ def targets(sizes: DataFrame, repeats: int = 3) -> DataFrame:
     return per.select("source", "source_size", "weight", F.when(F.col("_free"), shared).otherwise(cap).cast("double").alias("target"))
 
 
-def plan(sizes: DataFrame, repeats: int = 3, seed: int = 17, shard_tokens: int = 1_000_000) -> tuple[DataFrame, int]:
-    """For each (source, shard) how many whole passes and which run of words are taken; the number of shards."""
-    aims = written(targets(sizes, repeats), "targets")
+def plan(sizes: DataFrame, repeats: int = 3, seed: int = 17, shard_tokens: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """For each (source, shard) how many whole passes and which run of words are taken; the number of shards of each source."""
+    counted = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long")
+    aims = written(targets(sizes, repeats).withColumn("shards", counted), "targets")
     total, least = aims.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
-    block = int(max(1, min(4096, total // 100_000, (least or 0) // 200)))
-    shards = int(max(1, -(-total // shard_tokens)))
-    quotas = sainte_lague(aims.withColumns({"votes": F.col("target"), "seats": F.lit(round(total / block))}), []).select("source", "source_size", "target", F.col("won").alias("quota"))
-    held = sizes.groupBy("source", shard_of(shards, seed).alias("shard")).agg(F.sum("size").alias("tokens"))
+    block = int(max(1, min(4096, total // 100_000, (least or 0) // 200, shard_tokens // 200)))
+    quotas = sainte_lague(aims.drop("shards").withColumns({"votes": F.col("target"), "seats": F.lit(round(total / block))}), []).select("source", "source_size", "target", F.col("won").alias("quota"))
+    held = sharded(sizes, aims, seed).groupBy("source", "shard").agg(F.sum("size").alias("tokens"))
     s, q = held.alias("s"), quotas.alias("q")
-    parties = s.join(q, F.col("s.source").eqNullSafe(F.col("q.source"))).select("s.source", "shard", "tokens", "source_size", "target", F.col("tokens").cast("double").alias("votes"), F.col("quota").alias("seats"))
+    parties = s.join(q, F.col("s.source").eqNullSafe(F.col("q.source"))).select("s.source", "shard", "tokens", "source_size", "target", F.col("tokens").cast("double").alias("votes"), F.col("quota").alias("seats"), F.col("quota").alias("quota"))
     won = sainte_lague(parties, ["source"])
-    take = F.least(F.col("won") * block, repeats * F.col("tokens"))
-    won = won.withColumn("take", take).withColumns({"passes": F.when(F.col("tokens") > 0, F.expr("take div tokens")).otherwise(F.lit(0).cast("long")), "rest": F.when(F.col("tokens") > 0, F.col("take") % F.col("tokens")).otherwise(F.lit(0).cast("long"))})
+    cap, g = repeats * F.col("tokens"), W.partitionBy("source")
+    won = won.withColumn("_own", F.least(F.col("won") * block, cap))
+    # what is over the caps of some shards goes to the others, in order of their numbers
+    over = F.least(F.col("quota") * block, repeats * F.col("source_size")) - F.sum("_own").over(g)
+    room = F.coalesce(F.sum(cap - F.col("_own")).over(g.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won = won.withColumns({"_over": over, "_room": room}).withColumn("take", F.col("_own") + F.least(F.greatest(F.col("_over") - F.col("_room"), F.lit(0)), cap - F.col("_own")))
+    won = won.withColumns({"passes": F.when(F.col("tokens") > 0, F.expr("take div tokens")).otherwise(F.lit(0).cast("long")), "rest": F.when(F.col("tokens") > 0, F.col("take") % F.col("tokens")).otherwise(F.lit(0).cast("long"))})
     places = F.expr(f"(tokens - rest) div {block} + 1")
     begin = F.pmod(F.xxhash64("source", "shard", F.lit(seed)), places) * block
-    return won.select("source", "shard", "source_size", "target", "passes", begin.alias("run_start"), (begin + F.col("rest")).alias("run_end")), shards
+    return won.select("source", "shard", "source_size", "target", "passes", begin.alias("run_start"), (begin + F.col("rest")).alias("run_end")), aims.select("source", "shards")
 
 
-def shard_of(shards: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int")
+def sharded(sizes: DataFrame, counts: DataFrame, seed: int) -> DataFrame:
+    """``sizes`` with ``shard``: the number of a row's shard among those of its source."""
+    n = F.broadcast(counts.select(F.col("source").alias("_source"), F.col("shards").alias("_shards")))
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_shards")).cast("int")
+    return sizes.join(n, sizes.source.eqNullSafe(F.col("_source"))).withColumn("shard", shard).drop("_source", "_shards")
 
 
 def mix(docs: DataFrame, repeats: int = 3, seed: int = 17, shard_tokens: int = 1_000_000, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -109,10 +119,10 @@ def mix(docs: DataFrame, repeats: int = 3, seed: int = 17, shard_tokens: int = 1
         small = sizes
     else:
         small = written(sizes.select("doc_id", "source", "size"), "sizes")
-    shares, shards = plan(small, repeats, seed, shard_tokens)
+    shares, counts = plan(small, repeats, seed, shard_tokens)
     shares = written(shares, "shares")
     order = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", *own.values()).rowsBetween(W.unboundedPreceding, 0)
-    placed = sizes.withColumn("shard", shard_of(shards, seed)).withColumn("_end", F.sum("size").over(order))
+    placed = sharded(sizes, counts, seed).withColumn("_end", F.sum("size").over(order))
     p, s = placed.alias("p"), shares.alias("s")
     both = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.shard") == F.col("s.shard")), "left")
     start = F.col("_end") - F.col("size")

@@ -241,6 +241,16 @@ def test_mixing_cap(spark):
     assert got == {"a": (30.0, 30), "b": (940.0, 940), "c": (60.0, 60)}
 
 
+def test_mixing_small_source(spark):
+    """A small source of short documents beside a large one of many shards reaches its target."""
+    rows = [(i, "a", "w w") for i in range(500)] + [(1000 + i, "b", "w " * 100_000) for i in range(9)] + [(2000 + i, None, "w " * (i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df, shard_tokens=2_000).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert {r["source"] for r in got} == {"a", "b", None}
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= 0.005 * r["target"], r
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", None), (5, 0, "user", ""), (5, 0, "user", ""), (None, 0, None, "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
