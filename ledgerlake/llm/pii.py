@@ -5,7 +5,8 @@ Kinds ``email``, ``ip``, ``card`` (16 to 19 digits passing Luhn) and ``phone`` (
 digits alone are too weak; a context word nearby lifts them over the threshold).
 
 Everything is column expressions.  Patterns that repeat a group do so possessively,
-which changes no match here and keeps the stack flat on long texts.
+which keeps the stack flat on long texts and changes no match, but for ``IBAN``: that
+one proposes a start, what follows is captured, and the ends of words in it are tried.
 
 Nulls: a null text is empty and has no spans (``redact`` leaves it null); a null
 doc_id is carried along.  Repeated rows are each scanned.  Spans of different kinds
@@ -18,13 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import digits, listed, spans
+from .spans import SPAN, digits, listed, spans
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Its group 1 is all that an IBAN can reach, and one character of a word that goes on.
+IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}"
+#: Lengths that country codes fix; for other codes the ends are tried longest first.
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]?)"
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -62,12 +69,35 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
+def ibans(text: Column, proposed: Column) -> Column:
+    """The proposed spans cut to the end at which mod-97 holds; of spans that overlap the first stays."""
+    reach = F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))
+    fixed = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTH.items() for c in codes.split() for x in (c, n)])
+
+    def cut(x):
+        words = F.split(x, " ")
+        ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+        bare = lambda e: F.replace(e, F.lit(" "), F.lit(""))
+        sized = lambda e: F.length(bare(e)) == F.coalesce(F.element_at(fixed, F.substring(e, 1, 2)), F.length(bare(e)))
+        good = F.filter(ends, lambda e: F.when(bare(e).rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & sized(e), mod97(bare(e))).otherwise(F.lit(False)))
+        return F.get(good, F.lit(0))
+
+    pairs = F.zip_with(proposed, F.transform(reach, cut), lambda s, f: F.struct(s["start"].alias("start"), (s["start"] + F.length(f)).alias("end"), s["before"].alias("before"), f.alias("found")))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc, s):
+        own = s["found"].isNotNull() & (s["start"] >= acc["at"])
+        return F.struct(F.when(own, s["end"]).otherwise(acc["at"]).alias("at"), F.when(own, F.array_append(acc["out"], s)).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.size(proposed) > 0, F.aggregate(pairs, first, step, lambda acc: acc["out"])).otherwise(proposed)
+
+
 CONFIRM = {
     "email": lambda s: F.lit(True),
     "ip": lambda s: s.rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$"),
     "card": lambda s: F.length(digits(s)).between(16, 19) & luhn(F.substring(digits(s), 1, 19)),
     "phone": lambda s: F.length(digits(s)).between(8, 15),
-    "iban": lambda s: mod97(F.replace(s, F.lit(" "), F.lit(""))),
+    "iban": lambda s: F.lit(True),
     "ssn": lambda s: F.lit(True),
 }
 PATTERNS = {"email": (EMAIL, "@"), "ip": (IP, "."), "card": (CARD, None), "phone": (PHONE, "+"), "iban": (IBAN, None), "ssn": (SSN, "-")}
@@ -88,6 +118,7 @@ def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``spans``: an array of (start, rank, kind, end, score), by kind, then start."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumns({f"_{k}": spans(text, p, hint) for k, (p, hint) in PATTERNS.items()})
+    found = found.withColumn("_iban", ibans(text, F.col("_iban")))
     parts = [_confirmed(kind, rank) for rank, kind in enumerate(KINDS)]
     return found.withColumn("spans", F.filter(F.concat(*parts), lambda s: s["score"] >= threshold)).drop(*[f"_{k}" for k in KINDS])
 

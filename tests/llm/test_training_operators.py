@@ -172,6 +172,16 @@ def test_pii(spark, docs):
     assert pii.redact(docs).columns == docs.columns and pii.scan(empty(docs)).count() == 0
 
 
+def test_pii_iban_ends(spark):
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    texts = [
+        (f"pay {de} Please", "pay [IBAN] Please"), (f"{de} BIC COBADEFF", "[IBAN] BIC COBADEFF"), (f"{de} 2024", "[IBAN] 2024"), (f"{de} {gb} {no} A", "[IBAN] [IBAN] [IBAN] A"), (f"FR12 {gb}, {no}", "FR12 [IBAN], [IBAN]"),
+        (f"{gb} Thanks", "[IBAN] Thanks"), (f"{de}X and {de}x", f"{de}X and {de}x"), (f"{de[:-1]}1 Please", f"{de[:-1]}1 Please"), (f"é {de}", "é [IBAN]"), ("ZZ33 0000 1111 2222 333 Please", "[IBAN] Please"),
+    ]
+    got = pii.redact(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {i: w for i, (_, w) in enumerate(texts)}
+
+
 def test_secrets(spark, docs):
     assign = re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     model = secrets.train(secrets.samples(spark, 2000))
