@@ -137,12 +137,40 @@ def features(hist: np.ndarray) -> np.ndarray:
     return np.column_stack([tops[0], (tops[0] + tops[1] + tops[2]) / 3, *[np.log1p(c) for c in counts], *[np.sqrt(c / size) for c in counts], np.log1p(n)])
 
 
-def dictionaries(docs: list[tuple[Counter, int]], threshold: float, size: int = 16_000) -> tuple[bytes, bytes]:
+def leaders(sets: list[set[bytes]], share: float = 0.7) -> list[int]:
+    """For each word set the first one, itself led by none, with which it shares at least ``share`` of the
+    distinct words of both (Jaccard); its own number if there is none.
+
+    Only leaders are compared with: sets that near have a word in common among the rarest
+    1 - ``share`` of each."""
+    df = Counter(w for s in sets for w in s)
+    index, out = {}, []
+    for i, s in enumerate(sets):
+        if not s:
+            out.append(index.setdefault(b"", [i])[0])
+            continue
+        rare = sorted(s, key=lambda w: (df[w], w))[: len(s) - math.ceil(share * len(s)) + 1]
+        near = i
+        for j in sorted({j for w in rare for j in index.get(w, ())}):
+            t = sets[j]
+            if min(len(s), len(t)) >= share * max(len(s), len(t)):
+                both = len(s & t)
+                if both >= share * (len(s) + len(t) - both):
+                    near = j
+                    break
+        if near == i:
+            for w in rare:
+                index.setdefault(w, []).append(i)
+        out.append(near)
+    return out
+
+
+def dictionaries(docs: list[tuple[set, int]], threshold: float, size: int = 16_000) -> tuple[bytes, bytes]:
     """Two texts: the usual words followed by those that stand out in toxic documents by
     at least ``threshold`` standard deviations, and the usual words of ordinary documents."""
     df, n = (Counter(), Counter()), [0, 0]
     for words, toxic in docs:
-        df[toxic].update(words.keys() | {s for w in words for s in starts_of(w)})
+        df[toxic].update(words | {s for w in words for s in starts_of(w)})
         n[toxic] += 1
     scores = []
     for w, k in df[1].items():
@@ -177,14 +205,12 @@ def fit(rows: list[tuple[str, int]], thresholds: tuple = (3.0, 5.0, 12.0), odds:
     refitted on the differences of unseen halves."""
     import zlib
 
-    docs, seen = [], set()
-    for text, toxic in rows:
-        raw = FOLD[np.frombuffer((text or "").encode(), dtype=np.uint8)].tobytes()
-        words = raw.split()
-        opening = b" ".join(words[:6])  # near copies mostly share it: they count once and stay in one half
-        if (opening, toxic) not in seen:
-            seen.add((opening, toxic))
-            docs.append((raw, Counter(words), int(toxic), zlib.crc32(opening) & 1))
+    raws, sets, own = [], [], {}
+    for text, _ in rows:
+        raws.append(FOLD[np.frombuffer((text or "").encode(), dtype=np.uint8)].tobytes())
+        sets.append({own.setdefault(w, w) for w in raws[-1].split()})
+    # every row is learnt from; near copies stay in one half, so that neither half has seen the other's
+    docs = [(raws[i], sets[i], int(rows[i][1]), zlib.crc32(b" ".join(sorted(sets[lead]))) & 1) for i, lead in enumerate(leaders(sets))]
     y = np.array([d[2] for d in docs], dtype=float)
     halves = np.array([d[3] for d in docs])
     if len(y) == 0 or y.min() == y.max() or any(len(set(y[halves == h])) < 2 for h in (0, 1)):

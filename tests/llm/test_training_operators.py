@@ -320,6 +320,20 @@ def test_toxicity(spark, docs):
     assert toxicity.score(empty(docs), toxicity.Model()).count() == 0
 
 
+def test_toxicity_shared_opening():
+    """Rows that open alike are learnt from each; near copies are told by all their words."""
+    rng = np.random.RandomState(5)
+    text = lambda bad: "all rights reserved by the site owners\n" + " ".join([f"w{k}" for k in rng.randint(400, size=30)] + ["vilecur"] * bad)
+    rows = [(text(i % 3 == 0), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.fit(rows)
+    assert model.weights and b"vilecur" in model.toxic and model.prior == 1 / 3
+    hist = toxicity.Distances(model.toxic, model.ordinary).histogram
+    logit = [(((toxicity.features(hist(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t)]))) - model.mean) / model.scale) @ np.array(model.weights[:-1]) + model.weights[-1])[0] for t in (text(1), text(0))]
+    assert logit[0] > 0 > logit[1]
+    words = [set(t.encode().split()) for t, _ in rows[:50]]
+    assert toxicity.leaders([*words, words[7] | {b"new"}, set(), set()]) == [*range(50), 7, 51, 51]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
