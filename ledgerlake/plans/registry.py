@@ -59,15 +59,15 @@ def _keep_first(s, d):
     return T.keep_first(_read(s, d, "lineitem"), "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def _nearest(s, d):
+def _nearest(s, d, k=10):
     v = _read(s, d, "embeddings")
     q = v.where("vec_id = 0").select("embedding").first()
-    return R.nearest(v, q[0], 10).select("vec_id", F.round("score", 4).alias("score")) if q else R.nearest(v, [1.0], 10)
+    return R.nearest(v, q[0], k).select("vec_id", F.round("score", 4).alias("score")) if q else R.nearest(v, [1.0], k)
 
 
-def _hybrid(s, d):
-    sem = _nearest(s, d).withColumnRenamed("vec_id", "doc_id")
-    return R.hybrid(sem, R.bm25(_read(s, d, "documents"), QUERY, "doc_id"), "doc_id", 10).select("doc_id", F.round("score", 4).alias("score"))
+def _hybrid(s, d, k=10):
+    sem = _nearest(s, d, 3 * k).withColumnRenamed("vec_id", "doc_id")
+    return R.hybrid(sem, R.bm25(_read(s, d, "documents"), QUERY, "doc_id"), "doc_id", k).select("doc_id", F.round("score", 4).alias("score"))
 
 
 QUERIES = {

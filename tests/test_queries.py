@@ -16,6 +16,12 @@ def test_query(spark, name):
         assert query(spark, SF).count() > 0
 
 
+def test_hybrid_candidates(spark):
+    """The 3 k nearest vectors take part, as in the reference; the oracle's own limit is k."""
+    sql = ORACLE["rg4_hybrid"].replace("vec_id limit 10)", "vec_id limit 30)")
+    assert compare.differences(spark, compare.connect(SF), SF, registry.queries()["rg4_hybrid"], sql) == ""
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
