@@ -35,7 +35,7 @@ IBAN_LENGTH = {
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]?)"
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
-#: Words that raise the score of a kind when they stand within 40 characters before a span.
+#: Words that raise the score of a kind when they stand within 40 characters before or after a span.
 CONTEXT = {
     "email": "mail|contact|write|reach",
     "ip": "address|host|server|login|from",
@@ -104,10 +104,13 @@ PATTERNS = {"email": (EMAIL, "@"), "ip": (IP, "."), "card": (CARD, None), "phone
 
 
 def _confirmed(kind: str, rank: int) -> Column:
-    """The confirmed spans of a kind, scored by what stands before them."""
+    """The confirmed spans of a kind, scored by what stands around them in the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
 
     def scored(s):
-        near = F.lower(F.right(s["before"], F.lit(40))).rlike(CONTEXT[kind])
+        low = F.greatest(s["start"] - 40, F.lit(0))
+        before, after = F.substring(text, (low + 1).cast("int"), (s["start"] - low).cast("int")), F.substring(text, (s["end"] + 1).cast("int"), F.lit(40))
+        near = F.lower(before).rlike(CONTEXT[kind]) | F.lower(after).rlike(CONTEXT[kind])
         score = F.least(F.lit(1.0), F.lit(SCORE[kind]) + F.when(near, 0.3).otherwise(0.0))
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), score.alias("score"))
 

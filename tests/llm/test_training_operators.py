@@ -182,6 +182,12 @@ def test_pii_iban_ends(spark):
     assert {r["doc_id"]: r["text"] for r in got} == {i: w for i, (_, w) in enumerate(texts)}
 
 
+def test_pii_context(spark):
+    texts = [("SSN 123-45-6789, 987-65-4321", "SSN [SSN], [SSN]"), ("123-45-6789 is my SSN", "[SSN] is my SSN"), ("part 123-45-6789" + " x" * 21 + " ssn", None), ("ssn" + " x" * 20 + " 123-45-6789", None)]
+    got = pii.redact(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {i: w or t for i, (t, w) in enumerate(texts)}
+
+
 def test_secrets(spark, docs):
     assign = re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     model = secrets.train(secrets.samples(spark, 2000))
