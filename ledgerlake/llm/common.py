@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_WRITTEN: list[str] = []
+_LOCAL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; on a cluster it must be set, a temporary one is made in local mode only, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='shared-')}")
     return folder
 
 
@@ -26,17 +33,59 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files behind a frame of ``written`` that nothing needs any more."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for path in [p for p in _WRITTEN if any(f.endswith(p.rpartition("/")[2]) for f in folders)]:
+        remove(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: Callable[[], list[DataFrame]] = list) -> Iterator[None]:
+    """Deletes on leaving what ``written`` wrote inside, but for the frames that ``keep`` names then."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        kept = {f.rpartition("/")[0].rpartition("/")[2] for df in keep() for f in df.inputFiles()}
+        for path in [p for p in _WRITTEN if p not in before and p.rpartition("/")[2] not in kept]:
+            remove(spark, path)
+
+
+def apart(df: DataFrame, *taken: str) -> dict[str, str]:
+    """The columns of ``df`` by the names they leave an operator with that adds the columns ``taken``: a column
+    of one of these names, in whatever case, leaves as input_<name>."""
+    out, used = {}, {c.lower() for c in df.columns} | {t.lower() for t in taken}
+    for c in df.columns:
+        name = c
+        while name.lower() in {t.lower() for t in taken} or (name != c and name.lower() in used):
+            name = f"input_{name}"
+        used.add(name.lower())
+        out[c] = name
+    return out
+
+
+def own(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no name of theirs meets a working column."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own")
+
+
+def released(names: dict[str, str]) -> list[Column]:
+    """The columns of ``own`` by the names of ``apart``."""
+    return [F.col("_own").getField(c).alias(n) for c, n in names.items()]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -9,17 +9,21 @@ which keeps the stack flat on long texts and changes no match, but for ``IBAN``:
 one proposes a start, what follows is captured, and the ends of words in it are tried.
 
 Nulls: a null text is empty and has no spans (``redact`` leaves it null); a null
-doc_id is carried along.  Repeated rows are each scanned.  Spans of different kinds
-may overlap; redaction joins overlapping spans under the first one's kind.
+doc_id is carried along.  Empty texts have no spans, an empty table gives no rows.
+Very long texts are scanned whole, in time in proportion to their length and spans.
+Repeated rows are each scanned.  Spans of different kinds may overlap; redaction
+joins overlapping spans under the first one's kind, of equal starts the kind listed
+first.  A column of the input named ``spans`` leaves ``scan`` as input_spans;
+``redact`` returns the columns of its input, ``text`` changed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .spans import SPAN, digits, listed, spans
+from .common import apart, own, released, table
+from .spans import CHUNK, SPAN, chunks, fold, let, listed, piece, quoted, spans
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -48,103 +52,84 @@ CONTEXT = {
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 
 
-def luhn(number: Column) -> Column:
-    n = F.length(number)
+def digits(s: str) -> str:
+    return f"regexp_replace({s}, '[^0-9]', '')"
 
-    def add(acc, i):
-        d = F.substring(number, i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return acc + F.when((n - i) % 2 == 1, twice).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
+def luhn(number: str) -> str:
+    d = "cast(substring(n, i, 1) as int)"
+    twice = f"if({d} > 4, 2 * {d} - 9, 2 * {d})"
+    return let("n", number, f"aggregate(sequence(1, length(n)), 0, (sum, i) -> sum + if((length(n) - i) % 2 = 1, {twice}, {d})) % 10 = 0")
 
 
-def mod97(iban: Column) -> Column:
-    turned = F.concat(F.substring(iban, 5, 100), F.substring(iban, 1, 4))
+def mod97(iban: str) -> str:
+    code = "ascii(substring(turned, i, 1))"
+    add = f"(rest, i) -> if({code} >= 65, (rest * 100 + {code} - 55) % 97, (rest * 10 + {code} - 48) % 97)"
+    return let("turned", f"concat(substring({iban}, 5, 100), substring({iban}, 1, 4))", f"aggregate(sequence(1, length(turned)), 0, {add}) = 1")
 
-    def add(acc, i):
-        code = F.ascii(F.substring(turned, i, F.lit(1)))
-        return F.when(code >= 65, (acc * 100 + code - 55) % 97).otherwise((acc * 10 + code - 48) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
-
-
-def ibans(text: Column, proposed: Column) -> Column:
-    """The proposed spans cut to the end at which mod-97 holds; of spans that overlap the first stays."""
-    reach = F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))
-    fixed = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTH.items() for c in codes.split() for x in (c, n)])
-
-    def cut(x):
-        words = F.split(x, " ")
-        ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, 1, k), " "))
-        bare = lambda e: F.replace(e, F.lit(" "), F.lit(""))
-        sized = lambda e: F.length(bare(e)) == F.coalesce(F.element_at(fixed, F.substring(e, 1, 2)), F.length(bare(e)))
-        good = F.filter(ends, lambda e: F.when(bare(e).rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & sized(e), mod97(bare(e))).otherwise(F.lit(False)))
-        return F.get(good, F.lit(0))
-
-    pairs = F.zip_with(proposed, F.transform(reach, cut), lambda s, f: F.struct(s["start"].alias("start"), (s["start"] + F.length(f)).alias("end"), s["before"].alias("before"), f.alias("found")))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc, s):
-        own = s["found"].isNotNull() & (s["start"] >= acc["at"])
-        return F.struct(F.when(own, s["end"]).otherwise(acc["at"]).alias("at"), F.when(own, F.array_append(acc["out"], s)).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.size(proposed) > 0, F.aggregate(pairs, first, step, lambda acc: acc["out"])).otherwise(proposed)
+def ibans(text: str, proposed: str) -> str:
+    """SQL for the proposed spans cut to the end at which mod-97 holds; of spans that overlap the first stays."""
+    fixed = "map(" + ", ".join(f"'{c}', {n}" for n, codes in IBAN_LENGTH.items() for c in codes.split()) + ")"
+    bare = "replace(e, ' ', '')"
+    sized = f"length({bare}) = coalesce(element_at({fixed}, substring(e, 1, 2)), length({bare}))"
+    good = f"if({bare} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' and {sized}, {mod97(bare)}, false)"
+    ends = "transform(sequence(size(words), 1, -1), k -> array_join(slice(words, 1, k), ' '))"
+    cut = let("words", "split(reach, ' ')", f"get(filter({ends}, e -> {good}), 0)")
+    reach = f"transform(regexp_extract_all({text}, {quoted(IBAN)}, 1), reach -> {cut})"
+    pairs = f"zip_with({proposed}, {reach}, (s, f) -> named_struct('start', s.start, 'end', s.start + length(f), 'found', f))"
+    free = lambda at, s: f"{s}.found is not null and {s}.start >= {at}"
+    step = lambda at, s: (f"if({free(at, s)}, {s}.end, {at})", f"if({free(at, s)}, {s}, null)")
+    return f"if(size({proposed}) > 0, {let('cuts', pairs, fold('cuts', '0L', step, SPAN))}, {proposed})"
 
 
 CONFIRM = {
-    "email": lambda s: F.lit(True),
-    "ip": lambda s: s.rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$"),
-    "card": lambda s: F.length(digits(s)).between(16, 19) & luhn(F.substring(digits(s), 1, 19)),
-    "phone": lambda s: F.length(digits(s)).between(8, 15),
-    "iban": lambda s: F.lit(True),
-    "ssn": lambda s: F.lit(True),
+    "email": "true",
+    "ip": f"s.found rlike {quoted(rf'^{PART}\.{PART}\.{PART}\.{PART}$')}",
+    "card": f"if(length({digits('s.found')}) between 16 and 19, {luhn(digits('s.found'))}, false)",
+    "phone": f"length({digits('s.found')}) between 8 and 15",
+    "iban": "true",
+    "ssn": "true",
 }
 PATTERNS = {"email": (EMAIL, "@"), "ip": (IP, "."), "card": (CARD, None), "phone": (PHONE, "+"), "iban": (IBAN, None), "ssn": (SSN, "-")}
 
 
-def _confirmed(kind: str, rank: int) -> Column:
-    """The confirmed spans of a kind, scored by what stands around them in the text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _confirmed(kind: str, rank: int) -> str:
+    """SQL for the confirmed spans of a kind, scored by what stands around them in the text."""
+    before, after = piece("_chunks", "greatest(s.start - 40, 0)", "s.start"), piece("_chunks", "s.end", "s.end + 40")
+    score = f"if(lower({before}) rlike '{CONTEXT[kind]}' or lower({after}) rlike '{CONTEXT[kind]}', {min(1.0, SCORE[kind] + 0.3)}D, {SCORE[kind]}D)"
+    return f"transform(filter(_{kind}, s -> {CONFIRM[kind]}), s -> named_struct('start', s.start, 'rank', {rank}, 'kind', '{kind}', 'end', s.end, 'score', {score}))"
 
-    def scored(s):
-        low = F.greatest(s["start"] - 40, F.lit(0))
-        before, after = F.substring(text, (low + 1).cast("int"), (s["start"] - low).cast("int")), F.substring(text, (s["end"] + 1).cast("int"), F.lit(40))
-        near = F.lower(before).rlike(CONTEXT[kind]) | F.lower(after).rlike(CONTEXT[kind])
-        score = F.least(F.lit(1.0), F.lit(SCORE[kind]) + F.when(near, 0.3).otherwise(0.0))
-        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), score.alias("score"))
 
-    return F.transform(F.filter(f"_{kind}", lambda s: CONFIRM[kind](s["found"])), scored)
+def _found(docs: DataFrame, threshold: float) -> DataFrame:
+    """_own (the columns of ``docs``), _chunks (of texts with spans) and _spans, an array of (start, rank, kind, end, score), by kind, then start."""
+    found = docs.select(own(docs), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    found = found.selectExpr("_own", "_text", *[f"{spans('_text', p, hint)} as _{k}" for k, (p, hint) in PATTERNS.items()])
+    some = " or ".join(f"size(_{k}) > 0" for k in KINDS)
+    rest = [f"_{k}" for k in KINDS if k != "iban"]
+    found = found.selectExpr("_own", *rest, f"{ibans('_text', '_iban')} as _iban", f"if({some}, {chunks('_text')}, cast(array() as array<string>)) as _chunks")
+    parts = ", ".join(_confirmed(kind, rank) for rank, kind in enumerate(KINDS))
+    return found.selectExpr("_own", "_chunks", f"filter(concat({parts}), s -> s.score >= {threshold}D) as _spans")
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``spans``: an array of (start, rank, kind, end, score), by kind, then start."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumns({f"_{k}": spans(text, p, hint) for k, (p, hint) in PATTERNS.items()})
-    found = found.withColumn("_iban", ibans(text, F.col("_iban")))
-    parts = [_confirmed(kind, rank) for rank, kind in enumerate(KINDS)]
-    return found.withColumn("spans", F.filter(F.concat(*parts), lambda s: s["score"] >= threshold)).drop(*[f"_{k}" for k in KINDS])
+    return _found(docs, threshold).select(*released(apart(docs, "spans")), F.col("_spans").alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind in brackets."""
-    columns = docs.columns
-    found = scan(docs.select("*")).withColumn("spans", F.array_sort("spans"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        new = s["start"] >= acc["at"]
-        head = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], head, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    changed = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
-    return found.withColumn("text", changed).select(*columns)
+    step = lambda at, s: (f"greatest({at}, {s}.end)", f"if({s}.start >= {at}, concat({piece('_chunks', at, f'{s}.start')}, '[', upper({s}.kind), ']'), null)")
+    pieces = let("sorted", "array_sort(_spans)", fold("sorted", "0L", step, "array<string>"))
+    rest = piece("_chunks", "array_max(transform(_spans, s -> s.end))", f"size(_chunks) * {CHUNK}")
+    found = _found(docs, threshold).select("_own", F.expr(f"if(size(_spans) > 0, concat(array_join({pieces}, ''), {rest}), _own.text)").alias("_new"))
+    return found.select(*[F.col("_new").alias(c) if c == "text" else F.col("_own").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark, sf_dir) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores (of the spans, in hundredths) for every document."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("spans", lambda s: s["rank"] < 4)
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS[:4]]
+    scores = F.expr("array_join(transform(spans, s -> cast(cast(round(s.score * 100) as int) as string)), ',')")
+    return found.select("doc_id", *counts, F.sha2(listed("filter(spans, s -> s.rank < 4)").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), scores.alias("scores"))
