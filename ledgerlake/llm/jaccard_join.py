@@ -22,16 +22,22 @@ bound the overlap from above and an intersection of the sorted arrays decides.
   combined before the shuffle); only one of each class goes on.
 * Keys travel packed, about 20 bytes for each 10 elements; arrays travel only for
   classes that share a key with another class.
-* A cluster of more than ``tile_rows`` classes is cut into tiles, and pairs of
-  tiles are compared, each pair in a task of its own.
+* A large cluster is cut by bands of set sizes, and a band of many sets or elements
+  into parts: only tiles of the same or of neighbouring bands are compared, each pair
+  of tiles in a task of its own.
 * Pairs that a cluster's links connect already are not compared again.
+* Equal sets of more than a thousandth of all rows get their component by a broadcast
+  (at most a thousand rows), so a group of copies is no hot key.
 
 Hashes: words, n-grams and set digests have 64 bits; equality of two n-grams or
 of two sets (digest and size) is taken from them.
 
 Nulls: null and empty texts have an empty set, link with nothing and are their
 own component; a null doc_id takes part like any other and its component has the
-smallest non-null doc_id.  Repeated rows are returned as often as they occur.
+smallest non-null doc_id (null if there is none).  doc_id may be of any type that has
+an order.  Repeated rows are returned as often as they occur; ties need no rule.  Texts
+of any length are cut whole.  An empty table gives no rows.  Other columns of the input
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,9 +47,10 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as V
-from .common import components, table, written
+from .common import components, drop_written, table, written
 
 BITMAP_WORDS = 16  # 1,024 bits
 HOT = 16
@@ -180,7 +187,7 @@ def links(arrays: list[np.ndarray], percent: int, groups: np.ndarray | None = No
 
 
 def _base(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set, null if it is empty)."""
+    """doc_id, row, n_shingles, key (digest of the set, null if it is empty)."""
 
     def run(batches):
         import pyarrow as pa
@@ -193,9 +200,10 @@ def _base(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(s.sizes)
                 digests.append(s.digests())
             size, digest = np.concatenate(sizes), np.concatenate(digests).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest, mask=size == 0)], names=["doc_id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(size.astype(np.int64)), pa.array(digest, mask=size == 0)], names=["doc_id", "row", "n_shingles", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(V.frugal(run), "doc_id long, n_shingles long, key long")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType())])
+    return docs.select("doc_id", "row", "text").mapInArrow(V.frugal(run), schema)
 
 
 def _packed_keys(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
@@ -320,48 +328,71 @@ def _arrays(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(V.frugal(run), "key long, grams binary")
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int = 4096, broadcast_rows: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int = 4096, tile_elements: int = 8_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id of equal sets), component_id for each row of ``docs``.
 
     ``n`` words an n-gram; two documents link at a Jaccard similarity of ``percent`` / 100 or more.
     """
-    spark = docs.sparkSession
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     base = written(_base(docs, n), "base")
-    classes = base.where("key is not null").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    elements = base.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = int(max(8, elements // 1_000_000))
-    near = written(components(written(_candidates(_packed_keys(docs, n, percent, buckets)), "candidates")).withColumnRenamed("root", "cluster"), "near")
+    # of each class the row of the smallest doc_id stands for it, of a class without one the smallest row hash
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = base.where("key is not null").groupBy("key", "n_shingles").agg(first.alias("first"), F.count("*").alias("copies"))
+    classes = written(classes.select("key", "n_shingles", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("row"), "copies"), "classes")
+    elements, total = base.agg(F.sum("n_shingles"), F.count("*")).first()
+    buckets = int(max(8, (elements or 0) // 1_000_000))
+    edges = written(_candidates(_packed_keys(docs, n, percent, buckets)), "candidates")
+    near = written(components(edges).withColumnRenamed("root", "cluster"), "near")
+    drop_written(edges)
     # one document of each class that shares a key; where these are few the text need not be shuffled
-    one = base.join(near.select(F.col("node").alias("key"), "cluster"), "key").groupBy("key", "cluster").agg(F.min("doc_id").alias("doc_id"))
-    one = written(one.where("doc_id is not null"), "one")
+    one = written(classes.join(near.withColumnRenamed("node", "key"), "key").select("key", "cluster", "row", "n_shingles"), "one")
     few = one.count() <= broadcast_rows
-    chosen = docs.select("doc_id", "text").join(F.broadcast(one.select("doc_id").distinct()) if few else one.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = docs.select("row", "text").join(F.broadcast(one.select("row").distinct()) if few else one.select("row").distinct(), "row", "left_semi")
     arrays = _arrays(chosen, n).groupBy("key").agg(F.first("grams").alias("grams"))
-    sizes = one.groupBy("cluster").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
-    rows = one.select("key", "cluster").join(sizes, "cluster").join(arrays, "key").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    pairs = rows.select("cluster", "key", "grams", "tile", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j")))).alias("t"))
+    lows, _, _ = bands(int(one.agg(F.max("n_shingles")).first()[0] or 1) + 1, percent)
+    # small clusters are one tile; large ones are cut by size bands, and these into parts
+    parts = lambda rows, grams: F.greatest(F.ceil(rows / tile_rows), F.ceil(grams / tile_elements))
+    banded = one.withColumn("band", F.size(F.filter(F.lit(lows.tolist()), lambda low: low <= F.col("n_shingles"))))
+    sizes = banded.groupBy("cluster", "band").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams"))
+    whole = sizes.groupBy("cluster").agg((parts(F.sum("rows"), F.sum("grams")) > 1).alias("large"), F.map_from_entries(F.collect_list(F.struct("band", parts(F.col("rows"), F.col("grams")).cast("int").alias("parts")))).alias("parts"))
+    rows = banded.join(whole, "cluster").join(arrays, "key")
+    band = F.when(F.col("large"), F.col("band")).otherwise(0)
+    own = F.when(F.col("large"), F.element_at("parts", F.col("band"))).otherwise(1)
+    above = F.when(F.col("large"), F.coalesce(F.element_at("parts", F.col("band") + 1), F.lit(0))).otherwise(0)
+    below = F.when(F.col("large"), F.coalesce(F.element_at("parts", F.col("band") - 1), F.lit(0))).otherwise(0)
+    rows = rows.select("cluster", "key", "grams", band.alias("band"), own.alias("own"), above.alias("above"), below.alias("below")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("own")).cast("int"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda low, i, j: F.struct(low.alias("low"), i.alias("i"), j.alias("j"))
+    same = F.transform(numbers(F.col("own")), lambda o: tile(2 * F.col("band"), F.least("part", o), F.greatest("part", o)))
+    up = F.transform(numbers(F.col("above")), lambda o: tile(2 * F.col("band") + 1, F.col("part"), o))
+    down = F.transform(numbers(F.col("below")), lambda o: tile(2 * F.col("band") - 1, o, F.col("part")))
+    tiles = rows.select("cluster", "key", "grams", (F.col("band") * (1 << 20) + F.col("part")).alias("side"), F.explode(F.concat(same, up, down)).alias("t"))
 
     def verify(table):
         import pyarrow as pa
 
         keys = table.column("key").to_numpy()
-        tile = table.column("tile").to_numpy()
+        side = table.column("side").to_numpy()
         order = np.argsort(keys, kind="stable")
         arrays = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("grams")]
-        found = links([arrays[i] for i in order], percent, None if len(set(tile.tolist())) < 2 else tile[order])
+        found = links([arrays[i] for i in order], percent, None if len(set(side.tolist())) < 2 else side[order])
         V.settle()
         return pa.table({"a": pa.array([int(keys[order[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(keys[order[j]]) for _, j in found], pa.int64())})
 
-    linked = pairs.select("cluster", "key", "grams", "tile", F.col("t.i").alias("i"), F.col("t.j").alias("j")).groupBy("cluster", "i", "j")
+    linked = tiles.select("cluster", "key", "grams", "side", F.col("t.low").alias("low"), F.col("t.i").alias("i"), F.col("t.j").alias("j")).groupBy("cluster", "low", "i", "j")
     roots = components(linked.applyInArrow(verify, "a long, b long"))
     named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "root").select("key", "class_id", "component_id")
-    out = base.join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(named.join(least, "root").select("key", "class_id", "component_id", "copies"), "named")
+    for done in (near, one, classes):
+        drop_written(done)
+    # classes of very many copies are few: they are broadcast, and the others have no hot key
+    hot = F.broadcast(named.where(F.col("copies") * 1000 > total).drop("copies"))
+    names = ["doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    rest = base.join(hot.select("key"), "key", "left_anti").join(named.drop("copies"), "key", "left")
+    return base.join(hot, "key").select(*names).unionByName(rest.select(*names))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir) -> DataFrame:
     """doc_id, n_shingles, component_id (and class_id) at 3 words and a similarity of 0.9."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return join(docs, n=3, percent=90)
+    return join(table(spark, sf_dir, "documents"), n=3, percent=90)
