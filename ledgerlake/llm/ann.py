@@ -13,8 +13,9 @@ broadcast), each against all rows.
 
 Nulls: rows whose vec_id is null, whose vector is null, zero, of another length than
 most, or holds a null or non-finite component take no part.  Ties go to the smaller
-vec_id.  A vec_id that occurs more than once is a candidate each time, never for a
-query of its own number.  An empty table gives no rows.
+vec_id.  Rows are told apart by a number of their own: of rows with one vec_id each is
+a query and each a candidate of the others.  An empty table gives no rows.  Other
+columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,34 +34,27 @@ from .common import table, written
 class Codebooks:
     words: np.ndarray  # (M, K, d)
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        m, k, d = self.words.shape
-        flat = self.words.reshape(m * k, d)
-        return flat, flat @ flat.T
-
 
 def encode(x: np.ndarray, books: Codebooks, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, M) of the best sums that a beam search finds, and the squared norms of the sums."""
-    m, k, _ = books.words.shape
-    flat, cross = books.tables()
+    m, k, d = books.words.shape
+    norms = (books.words**2).sum(axis=2)
     n = len(x)
-    dot = x @ flat.T
-    norms = np.diag(cross)
     codes = np.zeros((n, 1, 0), dtype=np.int64)
+    sums = np.zeros((n, 1, d))
     cost, norm = np.zeros((n, 1)), np.zeros((n, 1))  # |sum|^2 - 2 x.sum, and |sum|^2
     for j in range(m):
-        own = slice(j * k, (j + 1) * k)
-        add = np.broadcast_to(norms[own], (n, codes.shape[1], k)).copy()
-        for i in range(j):
-            add += 2 * cross[i * k + codes[:, :, i], own]
-        total = cost[:, :, None] + add - 2 * dot[:, None, own]
-        wide = total.reshape(n, -1)
-        width = min(beam, wide.shape[1])
-        best = np.argpartition(wide, width - 1, axis=1)[:, :width]
+        words = books.words[j]
+        width = codes.shape[1]
+        add = norms[j] + 2 * (sums.reshape(n * width, d) @ words.T).reshape(n, width, k)
+        wide = (cost[:, :, None] + add - 2 * (x @ words.T)[:, None]).reshape(n, -1)
+        some = min(beam, wide.shape[1])
+        best = np.argpartition(wide, some - 1, axis=1)[:, :some]
         row = np.arange(n)[:, None]
         parent, word = best // k, best % k
         cost = wide[row, best]
         norm = norm[row, parent] + add[row, parent, word]
+        sums = sums[row, parent] + words[word]
         codes = np.concatenate([codes[row, parent], word[:, :, None]], axis=2)
     top = np.argmin(cost, axis=1)
     return codes[np.arange(n), top], norm[np.arange(n), top]
@@ -105,9 +99,9 @@ def build(vectors: DataFrame, sample: int = 8192, m: int = 16, k: int = 256) ->
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
     lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not lengths:
-        return rows.select("vec_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("norm")), None
+        return rows.select("vec_id", "embedding", F.lit(0).cast("long").alias("row"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("norm")), None
     dim = lengths[0][0]
-    rows = rows.where(F.size("embedding") == dim)
+    rows = rows.where(F.size("embedding") == dim).withColumn("row", F.monotonically_increasing_id())
     x = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(sample).collect()])
     books = fit(x, m, k)
 
@@ -123,56 +117,65 @@ def build(vectors: DataFrame, sample: int = 8192, m: int = 16, k: int = 256) ->
                     c, n = encode(part, books)
                     codes += [r.tobytes() for r in c.astype(np.uint8)]
                     norms.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), column, pa.array(codes, pa.binary()), pa.array(np.concatenate(norms or [[]]))], names=["vec_id", "embedding", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), column, batch.column("row"), pa.array(codes, pa.binary()), pa.array(np.concatenate(norms or [[]]))], names=["vec_id", "embedding", "row", "codes", "norm"])
+
+    return rows.mapInArrow(run, "vec_id long, embedding array<double>, row long, codes binary, norm double"), books
 
-    return rows.mapInArrow(run, "vec_id long, embedding array<double>, codes binary, norm double"), books
 
+def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, top: int = 10, shortlist: int = 600, query_block: int = 50_000) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``top`` nearest rows of ``index`` to each of ``queries``, rows of it.
 
-def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, top: int = 10, shortlist: int = 600, query_block: int = 8192) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``top`` nearest rows of ``index`` to each of ``queries`` (vec_id, embedding)."""
+    A task holds the vectors and the best of a block's queries; tables of inner products are made for a few
+    queries at a time."""
     spark = index.sparkSession
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_row long, query_id long, vec_id long, score double"
     blocks = -(-queries.count() // query_block) if books is not None else 0
     found = spark.createDataFrame([], schema)
     for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").collect()
+        own = queries.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).select("row", "vec_id", "embedding").collect()
         if not own:
             continue
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in own]), np.array([r[1] for r in own]), books.words))  # plain arrays: a broadcast is read without this package
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in own]), np.array([r[1] for r in own]), np.array([r[2] for r in own]), books.words))  # plain arrays: a broadcast is read without this package
 
         def run(batches, shared=shared):
             import pyarrow as pa
 
-            ids, q, words = shared.value
+            rows, ids, q, words = shared.value
             m, k, dim = words.shape
-            dots = q @ words.reshape(m * k, dim).T
+            flat = words.reshape(m * k, dim)
             best_id = np.full((len(q), top), np.iinfo(np.int64).max)
             best = np.full((len(q), top), np.inf)
             for batch in batches:
                 order = np.argsort(batch.column("vec_id").to_numpy(), kind="stable")
-                vec = batch.column("vec_id").to_numpy()[order]
+                vec, row = batch.column("vec_id").to_numpy()[order], batch.column("row").to_numpy()[order]
                 x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
                 codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, m)[order].astype(np.int64) + np.arange(m) * k
                 norm = batch.column("norm").to_numpy()[order]
-                for i in range(len(q)):
-                    near = norm - 2 * dots[i][codes].sum(axis=1)
-                    near[vec == ids[i]] = np.inf
-                    if len(vec) > shortlist:
-                        edge = np.partition(near, shortlist - 1)[shortlist - 1]
-                        inner = np.flatnonzero(near < edge)
-                        pick = np.concatenate([inner, np.flatnonzero(near == edge)[: shortlist - len(inner)]])  # ties: smaller vec_id
-                    else:
-                        pick = np.arange(len(vec))
-                    pick = pick[near[pick] < np.inf]
-                    exact = np.sqrt(((x[pick] - q[i]) ** 2).sum(axis=1))
-                    scores, names = np.concatenate([best[i], exact]), np.concatenate([best_id[i], vec[pick]])
-                    keep = np.lexsort((names, scores))[:top]
-                    best[i], best_id[i] = scores[keep], names[keep]
+                for begin in range(0, len(q), 32):
+                    part = np.arange(begin, min(begin + 32, len(q)))
+                    tables = flat @ q[part].T  # inner products of all words with these queries
+                    looked = np.zeros((len(vec), len(part)))
+                    for j in range(m):
+                        looked += tables[codes[:, j]]
+                    close = (norm[:, None] - 2 * looked).T
+                    close[row == rows[part][:, None]] = np.inf
+                    for i, near in zip(part, close):
+                        if len(vec) > shortlist:
+                            edge = np.partition(near, shortlist - 1)[shortlist - 1]
+                            inner = np.flatnonzero(near < edge)
+                            pick = np.concatenate([inner, np.flatnonzero(near == edge)[: shortlist - len(inner)]])  # ties: smaller vec_id
+                        else:
+                            pick = np.arange(len(vec))
+                        pick = pick[near[pick] < np.inf]
+                        exact = np.sqrt(((x[pick] - q[i]) ** 2).sum(axis=1))
+                        scores, names = np.concatenate([best[i], exact]), np.concatenate([best_id[i], vec[pick]])
+                        keep = np.lexsort((names, scores))[:top]
+                        best[i], best_id[i] = scores[keep], names[keep]
             some = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top)[some.ravel()]), pa.array(best_id[some]), pa.array(best[some])], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, top)[some.ravel()]), pa.array(np.repeat(ids, top)[some.ravel()]), pa.array(best_id[some]), pa.array(best[some])], names=["query_row", "query_id", "vec_id", "score"])
 
         found = found.unionByName(index.mapInArrow(run, schema))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
@@ -180,4 +183,4 @@ def op8_nearest_neighbours(spark, sf_dir) -> DataFrame:
     """query_id, rank, vec_id, score: the 10 nearest of all rows to every row whose vec_id is divisible by 100."""
     index, books = build(table(spark, sf_dir, "embeddings"))
     index = written(index, "index")
-    return search(index, books, index.where("vec_id % 100 = 0").select("vec_id", "embedding").dropDuplicates(["vec_id"]))
+    return search(index, books, index.where("vec_id % 100 = 0"))

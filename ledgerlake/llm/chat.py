@@ -9,9 +9,11 @@ rendered turn by turn.
 Prefix points are grouped (combined before the shuffle) before the anti-join, so an
 opening that all conversations share is one row.
 
-Nulls: a null conv_id is a conversation of its own; null roles and texts differ from
-empty ones in the hash and are rendered as empty.  Turns are ordered by turn, role,
-text; repeated rows are further turns.  An empty table gives no rows.
+Nulls: a null conv_id is a conversation of its own; null roles and texts count as
+empty ones.  Turns are ordered by turn, role, text; rows equal in all three are further
+turns, so ties need no rule.  Texts of any length are hashed whole; the turns of one
+conversation are gathered in one row when it is rendered.  An empty table gives no rows.
+Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ SUMS = ("h0", "h1", "h2", "h3")
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, at (position from 1), last (whether no turn follows), prefix hashes."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turns = turns.select("conv_id", "turn", "role", "text").withColumn("at", F.row_number().over(order))
-    digest = F.sha2(F.concat_ws("\u0001", F.col("at").cast("string"), *[F.concat(F.when(F.col(c).isNull(), "n").otherwise("s"), F.length(F.coalesce(c, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(c, F.lit(""))) for c in ("role", "text")]).cast("binary"), 256)
+    turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.row_number().over(order))
+    digest = F.sha2(F.concat_ws("\u0001", F.col("at").cast("string"), *[F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in ("role", "text")]).cast("binary"), 256)
     turns = turns.withColumn("_d", digest)
     limbs = {h: F.conv(F.substring("_d", 1 + 10 * i, 10), 16, 10).cast("long") for i, h in enumerate(SUMS)}
     parts = turns.select("conv_id", "at", *[v.alias(f"_{h}") for h, v in limbs.items()])

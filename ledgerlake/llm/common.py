@@ -29,6 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets Arrow batches hold at most ``most`` bytes, so that Python workers stay small whatever the length of the texts."""
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession

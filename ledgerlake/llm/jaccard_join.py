@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as V
-from .common import components, drop_written, table, written
+from .common import components, drop_written, small_batches, table, written
 
 BITMAP_WORDS = 16  # 1,024 bits
 HOT = 16
@@ -333,6 +333,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int = 4096,
 
     ``n`` words an n-gram; two documents link at a Jaccard similarity of ``percent`` / 100 or more.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     base = written(_base(docs, n), "base")
     # of each class the row of the smallest doc_id stands for it, of a class without one the smallest row hash

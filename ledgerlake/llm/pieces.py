@@ -14,7 +14,11 @@ together.  Stretches over ``LONG`` bytes go through ``Stream``, which keeps a wi
 of the longest piece and commits whenever its surviving paths meet.
 
 Nulls: a null text has null ids, an empty one none; a null doc_id is carried along.
-Repeated rows are each encoded.  A literal U+2581 is kept by its bytes.
+Texts of any length are encoded whole, a slice of about a megabyte at a time.  Repeated
+rows are each encoded.  Of cuts of equal score the one with longer last pieces is taken.
+A literal U+2581 is kept by its bytes.  An empty table gives no rows.  A column of the
+input named ``ids``, ``n_tokens`` or ``round_trip`` leaves as input_<name>; ``decode``
+replaces a column ``text``.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as V
-from .common import table
+from .common import apart, small_batches, table
 
 LONG = 64
 SPACE = "▁"
@@ -143,7 +147,7 @@ class Stream:
 class Encoder:
     """Cuts slices of documents; remembers distinct stretches."""
 
-    def __init__(self, v: Vocabulary, most: int = 1_000_000):
+    def __init__(self, v: Vocabulary, most: int = 200_000):
         self.v, self.most, self.hasher, self.stream = v, most, V.Hasher(), Stream(v)
         usable = np.flatnonzero(v.usable)
         raw = np.frombuffer(b"".join(v.texts[i] for i in usable), dtype=np.uint8)
@@ -297,8 +301,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
     """The columns ``keep`` (default: all but text) of ``docs`` and ids array<int>, n_tokens, round_trip."""
     from pyspark.sql import types as T
 
-    keep = keep if keep is not None else [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+    keep = keep if keep is not None else [c for c in docs.columns if c != "text"]
+    names = apart(docs.select(*keep), "ids", "n_tokens", "round_trip")
+    schema = T.StructType([T.StructField(names[c], docs.schema[c].dataType) for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.texts, vocabulary.scores, vocabulary.usable, vocabulary.byte_ids))  # plain values: a broadcast is read without this package
 
     def run(batches):
@@ -306,8 +312,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
 
         encoder = Encoder(Vocabulary(*shared.value))
         for batch in batches:
-            null = batch.column("text").is_null()
-            for row, end, data, offsets in V.slices(batch.column("text"), 2 << 20):
+            null = batch.column("_encoded").is_null()
+            for row, end, data, offsets in V.slices(batch.column("_encoded"), 1 << 20):
                 ids, at = encoder.encode(data, offsets)
                 some = np.diff(offsets) > 0
                 marked = np.insert(data, offsets[:-1][some], 32)
@@ -322,9 +328,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str] | None = Non
                     import pyarrow.compute as pc
 
                     lists = pc.if_else(absent, pa.scalar(None, pa.list_(pa.int32())), lists)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, end - row) for c in keep), lists, pa.array(np.diff(at).astype(np.int64)), pa.array(ok)], names=[*keep, "ids", "n_tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns[:-1]), lists, pa.array(np.diff(at).astype(np.int64)), pa.array(ok)], names=schema.names)
 
-    return docs.select(*keep, *["text"] * ("text" not in keep)).mapInArrow(V.frugal(run), schema)
+    return docs.select(*[F.col(c).alias(names[c]) for c in keep], F.col("text").alias("_encoded")).mapInArrow(V.frugal(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -6,9 +6,14 @@ line is removed where more than ``share`` of the host's documents, and more than
 ``least_docs`` of them, hold it.  A document is kept unless the per-document rules
 fail it or fewer than ``left`` of its words (or fewer than 10) remain.
 
+``clean`` gives the kept documents without those lines.
+
 Nulls: a null text is empty and fails (fewer than 10 words); a null host is a host
-of its own; a null doc_id is carried along.  Repeated rows are documents of their
-own, each counted.
+of its own; a null doc_id is carried along; doc_id and host may be of any type.  Texts
+of any length are read whole.  Repeated rows are documents of their own, each counted;
+a line that a document holds twice counts once, and goes each time.  Ties: a line held
+by exactly the limit stays.  An empty table gives no rows.  ``rules`` looks at no other
+column; ``clean`` returns the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,9 +21,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as V
-from .common import table, written
+from .common import own, small_batches, table, written
 
 NORMAL = V.LOWER.copy()
 NORMAL[48:58] = 48
@@ -103,23 +109,71 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
                     names=["doc_id", "host", *COUNTS, "lines", "line_words"],
                 )
 
-    return docs.select("doc_id", F.col(host).alias("host"), "text").mapInArrow(V.frugal(run), f"doc_id long, host string, {', '.join(f'{c} long' for c in COUNTS)}, lines array<long>, line_words array<long>")
+    return docs.select("doc_id", F.col(host).alias("host"), "text").mapInArrow(V.frugal(run), T.StructType([docs.schema["doc_id"], T.StructField("host", docs.schema[host].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("lines", "line_words"))]))
 
 
-def rules(docs: DataFrame, host: str = "source", share: float = 0.1, least_docs: int = 5, many_docs: int = 20, left: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, words_left and kept for each row of ``docs``."""
-    base = written(_measured(docs, host).withColumn("row", F.monotonically_increasing_id()), "quality")
-    lines = base.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    frequent = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
+def _lines(base: DataFrame) -> DataFrame:
+    return base.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+
+
+def _frequent(base: DataFrame, share: float, least_docs: int, many_docs: int) -> DataFrame:
+    """key (a hash of host and line) of the lines above the limits."""
+    frequent = _lines(base).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
     hosts = base.groupBy("host").agg(F.count("*").alias("docs"))
     over = (F.col("n") > many_docs) | (F.col("n") > share * F.col("docs"))
-    frequent = written(frequent.join(hosts, frequent.host.eqNullSafe(hosts.host)).where(over).select(F.xxhash64(frequent.host, "line").alias("key")), "frequent")
-    frequent = F.broadcast(frequent) if frequent.count() <= 1_000_000 else frequent
-    removed = lines.withColumn("key", F.xxhash64("host", "line")).join(frequent, "key").groupBy("row").agg(F.sum("words").alias("removed"))
+    found = written(frequent.join(hosts, frequent.host.eqNullSafe(hosts.host)).where(over).select(F.xxhash64(frequent.host, "line").alias("key")), "frequent")
+    return F.broadcast(found) if found.count() <= 1_000_000 else found
+
+
+def _verdict(base: DataFrame, frequent: DataFrame, left: float) -> DataFrame:
+    removed = _lines(base).withColumn("key", F.xxhash64("host", "line")).join(frequent, "key").groupBy("row").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone"))
     out = base.drop("lines", "line_words").join(removed, "row", "left").withColumn("words_left", F.col("n_words") - F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (F.col("words_left") < 10) | (F.col("words_left") < left * F.col("n_words"))
-    return out.select("doc_id", *COUNTS, failed.alias("base_failed"), "words_left", (~failed & ~depleted).alias("kept"))
+    return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
+
+
+def rules(docs: DataFrame, host: str = "source", share: float = 0.1, least_docs: int = 5, many_docs: int = 20, left: float = 0.5) -> DataFrame:
+    """doc_id, the counts, base_failed, words_left and kept for each row of ``docs``."""
+    small_batches(docs.sparkSession)
+    base = written(_measured(docs, host).withColumn("row", F.monotonically_increasing_id()), "quality")
+    return _verdict(base, _frequent(base, share, least_docs, many_docs), left).select("doc_id", *COUNTS, "base_failed", "words_left", "kept")
+
+
+def clean(docs: DataFrame, host: str = "source", share: float = 0.1, least_docs: int = 5, many_docs: int = 20, left: float = 0.5) -> DataFrame:
+    """The kept rows of ``docs``, their texts without the lines above the limits."""
+    small_batches(docs.sparkSession)
+    numbered = written(docs.select(own(docs), F.monotonically_increasing_id().alias("row")), "numbered")
+    base = written(_measured(numbered.select(F.col("row").alias("doc_id"), F.col("_own").getField(host).alias("host"), F.col("_own.text").alias("text")), "host").withColumnRenamed("doc_id", "row"), "quality")
+    verdict = _verdict(base, _frequent(base, share, least_docs, many_docs), left).where("kept").select("row", "gone")
+    joined = numbered.join(verdict, "row").select("_own", F.col("_own.text").alias("text"), "gone")
+
+    def run(batches):
+        import pyarrow as pa
+
+        hasher = V.Hasher()
+        for batch in batches:
+            out = [_strip(hasher, t, set(g or ())) for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("_own"), pa.array(out, pa.string())], names=["_own", "text"])
+
+    stripped = joined.mapInArrow(V.frugal(run), T.StructType([joined.schema["_own"], T.StructField("text", T.StringType())]))
+    return stripped.select(*[F.col("text") if c == "text" else F.col("_own").getField(c).alias(c) for c in docs.columns])
+
+
+def _strip(hasher: V.Hasher, text: str, gone: set[int]) -> str:
+    """The text without the lines whose normalised hash is among ``gone``."""
+    if not gone:
+        return text
+    kept = []
+    for line in text.split("\n"):
+        data = np.frombuffer(line.encode(), dtype=np.uint8)
+        starts, ends, _ = V.word_bounds(data, np.array([0, len(data)]))
+        if len(starts):
+            words = hasher.words(NORMAL[data], starts, ends)
+            if int(hasher.ranges(words, np.array([0]), np.array([len(words)])).view(np.int64)[0]) in gone:
+                continue
+        kept.append(line)
+    return "\n".join(kept)
 
 
 def op6_quality_rules(spark, sf_dir) -> DataFrame:

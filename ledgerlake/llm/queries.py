@@ -29,7 +29,7 @@ ORACLE = {
         k as (select id, pos, word, max(hit) over (partition by id order by pos rows between 34 preceding and current row) as gone from h)
         select any_value(doc_id) as doc_id, cast(any_value(len(d.w)) as bigint) as n_words, cast(coalesce(sum(gone), 0) as bigint) as n_removed, sha256(coalesce(string_agg(case when gone = 0 then word end, ' ' order by pos), '')) as kept_sha256
         from d left join k using (id) group by id""",
-    "op9_chat_formatting": """with t as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as nth, coalesce(role, '') as r, coalesce(text, '') as x from conversations),
+    "op9_chat_formatting": """with t as (select conv_id, row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) as nth, coalesce(role, '') as r, coalesce(text, '') as x from conversations),
         c as (select conv_id, count(*) as n_turns, string_agg('<|' || r || '|>' || chr(10) || x || chr(10) || '<|end|>' || chr(10), '' order by nth) as chat from t group by conv_id)
         select conv_id, n_turns, chat from c where not exists (select 1 from c d where d.n_turns > c.n_turns and starts_with(d.chat, c.chat)) and not exists (select 1 from c d where d.chat = c.chat and d.conv_id < c.conv_id)""",
 }

@@ -16,7 +16,9 @@ to the grouping once, so a passage in a third of all documents is no hot key.
 
 Nulls: a null text has no words; its kept text is empty.  A null doc_id is carried
 along.  Repeated rows are repetitions like any other.  Texts shorter than a window
-are kept whole.
+are kept whole; texts of any length are read whole.  doc_id may be of any type.  There
+are no ties: every copy of a window goes.  An empty table gives no rows.  Other columns
+of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from itertools import compress
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as V
-from .common import table, written
+from .common import small_batches, table, written
 
 BLOCKS = 256
 PACKED = 500_000  # windows held before they are packed
@@ -203,7 +206,7 @@ def _unique(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("bucket").applyInArrow(run, "row_key long, pos int")
 
 
-def dedup(docs: DataFrame, k: int = 35, spread: int = 16, max_cells: int = 1 << 28, broadcast_windows: int = 5_000_000) -> DataFrame:
+def dedup(docs: DataFrame, k: int = 35, spread: int = 16, max_cells: int = 1 << 28, broadcast_windows: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space) for each row of ``docs``."""
     return _dedup(docs, k, spread, max_cells, broadcast_windows, text=True)
 
@@ -211,6 +214,7 @@ def dedup(docs: DataFrame, k: int = 35, spread: int = 16, max_cells: int = 1 <<
 def _dedup(docs: DataFrame, k: int, spread: int, max_cells: int, broadcast_windows: int, text: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = size // 6 + 1
     bits = min(max(16, int(8 * words * 2 // (spread + 1)).bit_length()), max_cells.bit_length() - 1)
@@ -261,11 +265,11 @@ def _dedup(docs: DataFrame, k: int, spread: int, max_cells: int, broadcast_windo
             out = pa.array([x.decode() for x in kept], pa.string()) if text else pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n_words or [[]]).astype(np.int64)), pa.array(np.concatenate(n_removed or [[]]).astype(np.int64)), out], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(V.frugal(run), "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(V.frugal(run), T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
 
 
 def op7_substring_dedup(spark, sf_dir) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 at windows of 35 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # the digest is taken where the kept text is, so the text need not travel
-    return _dedup(docs, 35, 16, 1 << 28, 5_000_000, text=False).withColumnRenamed("kept", "kept_sha256")
+    return _dedup(docs, 35, 16, 1 << 28, 1_000_000, text=False).withColumnRenamed("kept", "kept_sha256")

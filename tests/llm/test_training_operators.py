@@ -271,7 +271,7 @@ def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", None), (5, 0, "user", ""), (5, 0, "user", ""), (None, 0, None, "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: (r["n_turns"], r["chat"]) for r in chat.render(df, chat.maximal(df)).collect()}
-    assert set(got) == {2, 4, 5, None} and got[2] == (2, "<|user|>\nhi\n<|end|>\n<|assistant|>\nyo\n<|end|>\n")
+    assert set(got) == {2, 5, None} and got[2] == (2, "<|user|>\nhi\n<|end|>\n<|assistant|>\nyo\n<|end|>\n")
     assert chat.render(df.where("1 = 0"), chat.maximal(df.where("1 = 0"))).count() == 0
 
 
