@@ -18,8 +18,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below ``TOXIC`` stay; a column of theirs never clashes with the score, whose name no column has."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).drop("toxicity")
+    name = "_" * (1 + max(len(c) for c in docs.columns))
+    return toxicity.score(docs, model, name=name).where(F.col(name) < TOXIC).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
