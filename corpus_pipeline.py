@@ -1,4 +1,8 @@
-"""A corpus from raw documents to token ids: toxicity, near duplicates, personal data, mixture, pieces."""
+"""A corpus from raw documents to token ids: toxicity, near duplicates, personal data, mixture, pieces.
+
+Nulls, empty and long texts, ties, repeated rows and empty tables are as the stages' modules say.  All stages but
+the last return the columns of their input, whatever further ones there are and whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import jaccard_join, mixing, pieces, pii, toxicity
-from ledgerlake.llm.common import table, written
+from ledgerlake.llm.common import drop_written, scratch, table, written
 
 #: Documents at this toxicity or above go.
 TOXIC = 0.3
@@ -56,7 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage wrote for itself, and what it read, is deleted after it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        out: list[DataFrame] = []
+        with scratch(spark, lambda out=out: out):
+            out.append(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            drop_written(before)
+        docs = before = out[0]
     return docs
