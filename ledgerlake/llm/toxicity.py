@@ -27,7 +27,7 @@ input that bears the name of the score leaves as input_<name>.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -145,24 +145,28 @@ def features(hist: np.ndarray) -> np.ndarray:
     return np.column_stack([tops[0], (tops[0] + tops[1] + tops[2]) / 3, *[np.log1p(c) for c in counts], *[np.sqrt(c / size) for c in counts], np.log1p(n)])
 
 
-def leaders(sets: list[set[bytes]], share: float = 0.7) -> list[int]:
+def leaders(sets: list, share: float = 0.7) -> list[int]:
     """For each word set the first one, itself led by none, with which it shares at least ``share`` of the
-    distinct words of both (Jaccard); its own number if there is none.
+    distinct words of both (Jaccard); its own number if there is none.  Sets, or arrays of distinct word numbers.
 
     Only leaders are compared with: sets that near have a word in common among the rarest
     1 - ``share`` of each."""
-    df = Counter(w for s in sets for w in s)
-    index, out = {}, []
+    numbers: dict = {}
+    sets = [s if isinstance(s, np.ndarray) else np.array([numbers.setdefault(w, len(numbers)) for w in s], dtype=np.int64) for s in sets]
+    df = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *sets]))
+    index: dict[int, list[int]] = {}
+    out, blank = [], None
     for i, s in enumerate(sets):
-        if not s:
-            out.append(index.setdefault(b"", [i])[0])
+        if not len(s):
+            blank = i if blank is None else blank
+            out.append(blank)
             continue
-        rare = sorted(s, key=lambda w: (df[w], w))[: len(s) - math.ceil(share * len(s)) + 1]
+        rare = s[np.lexsort((s, df[s]))][: len(s) - math.ceil(share * len(s)) + 1].tolist()
         near = i
         for j in sorted({j for w in rare for j in index.get(w, ())}):
             t = sets[j]
             if min(len(s), len(t)) >= share * max(len(s), len(t)):
-                both = len(s & t)
+                both = int(np.isin(s, t, assume_unique=True).sum())
                 if both >= share * (len(s) + len(t) - both):
                     near = j
                     break
@@ -180,17 +184,20 @@ class Sample:
         self.words, self.tokens, self.first, self.y, self.half = words, tokens, first, y, half
 
     @classmethod
-    def of(cls, rows: list[tuple[str, int]]) -> Sample:
+    def of(cls, rows: Iterable[tuple[str, int]]) -> Sample:
         import zlib
 
         numbers: dict[bytes, int] = {}
-        texts = [np.array([numbers.setdefault(w, len(numbers)) for w in FOLD[np.frombuffer((t or "").encode(), dtype=np.uint8)].tobytes().split()], dtype=np.int32) for t, _ in rows]
+        texts, toxic = [], []
+        for text, kind in rows:
+            texts.append(np.array([numbers.setdefault(w, len(numbers)) for w in FOLD[np.frombuffer((text or "").encode(), dtype=np.uint8)].tobytes().split()], dtype=np.int32))
+            toxic.append(int(kind))
         words = list(numbers)
         # every row is learnt from; near copies stay in one half, so that neither half has seen the other's
-        sets = [{words[i] for i in t.tolist()} for t in texts]
-        half = [zlib.crc32(b" ".join(sorted(sets[lead]))) & 1 for lead in leaders(sets)]
+        sets = [np.unique(t).astype(np.int64) for t in texts]
+        half = [zlib.crc32(b" ".join(sorted(words[i] for i in sets[lead].tolist()))) & 1 for lead in leaders(sets)]
         first = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-        return cls(words, np.concatenate([np.zeros(0, dtype=np.int32), *texts]), first, np.array([int(t) for _, t in rows]), np.array(half))
+        return cls(words, np.concatenate([np.zeros(0, dtype=np.int32), *texts]), first, np.array(toxic), np.array(half))
 
     def held(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document, word) of the distinct words of the chosen documents."""
@@ -258,12 +265,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
 TRIALS = tuple((z, starts) for z in (3.0, 5.0, 12.0) for starts in (STARTS, ()))
 
 
-def fit(rows: list[tuple[str, int]], trials: tuple = TRIALS, odds: float | None = None, spark=None) -> Model:
+def fit(rows: Sample | list[tuple[str, int]], trials: tuple = TRIALS, odds: float | None = None, spark=None) -> Model:
     """A model from (text, toxic) rows, for documents whose odds of being toxic are ``odds`` (default: those of
     the rows).  Each trial's dictionaries are built on one half and tried on the other; the trial of least
     logarithmic loss is kept and its curve refitted on the differences of unseen halves.  With ``spark`` the
     trials run as tasks."""
-    sample = Sample.of(rows)
+    sample = rows if isinstance(rows, Sample) else Sample.of(rows)
     y, halves = sample.y.astype(float), sample.half
     if len(y) == 0 or y.min() == y.max() or any(len(set(y[halves == h])) < 2 for h in (0, 1)):
         return Model(prior=float(y.mean()) if len(y) else 0.0)
@@ -328,7 +335,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2_000, max_ordina
     t, r = F.broadcast(taken.dropDuplicates(["doc_id", "_text"])).alias("t"), rows.alias("r")
     found = r.join(t, (F.col("r.doc_id") == F.col("t.doc_id")) & (F.xxhash64("r.text") == F.col("t._text"))).select("r.doc_id", "r.text", "r.toxic").collect()
     found.sort(key=lambda x: (str(x[0]), x[1] or ""))
-    return fit([(x[1], x[2]) for x in found], odds=n.get(1, 0) / n[0] if n.get(0) else None, spark=docs.sparkSession)
+    sample = Sample.of((x[1], x[2]) for x in found)
+    del found  # the texts are not needed any more
+    V.settle()
+    model = fit(sample, odds=n.get(1, 0) / n[0] if n.get(0) else None, spark=docs.sparkSession)
+    V.settle()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
