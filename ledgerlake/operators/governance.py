@@ -28,7 +28,8 @@ CONCEPTS = {
     "invoice": ["invoices", "invoice"], "mrr": ["mrr", "subscriptions"], "sla": ["resolution", "response", "sla"],
 }
 STRICT = ("revenue", "churn", "ticket")
-MONEY = ("amount", "mrr", "total", "revenue", "arr", "total_revenue")
+#: Columns that must not be negative.
+MONEY = ("amount", "mrr", "total", "revenue", "paid_amount", "subtotal")
 MAX_ROWS = 1000
 
 
@@ -43,9 +44,22 @@ def classify(question: Column, sql: Column | None = None) -> Column:
     return out.otherwise(F.struct(F.lit("safe").alias("classification"), F.lit("DEFAULT_SAFE").alias("rule")))
 
 
+def _masked(c: Column, kind: T.DataType) -> Column:
+    """A value of any type with the strings in it masked: of structs the fields, of arrays the items, of maps the values."""
+    if isinstance(kind, T.StringType):
+        return mask_pii(c)
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_masked(c.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _masked(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _masked(v, kind.valueType))
+    return c
+
+
 def mask_all(df: DataFrame) -> DataFrame:
-    """GV2 on every string column."""
-    return df.select(*[mask_pii(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+    """GV2 on every string, nested ones too."""
+    return df.select(*[_masked(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def limit_rows(df: DataFrame, most: int = MAX_ROWS) -> tuple[DataFrame, str | None]:
@@ -66,7 +80,7 @@ def reflect(question: str, sql: str, answer: str, rows: list[dict]) -> tuple[boo
         if sql and word in question.lower() and not any(n in sql.lower() for n in names):
             found.append(f"the question names {word}, the SQL does not")
             passed &= word not in STRICT
-    if any(isinstance(r.get(c), (int, float)) and r[c] < 0 for r in rows[:10] for c in MONEY):
+    if any(str(c).lower() in MONEY and isinstance(v, (int, float)) and v < 0 for r in rows[:10] for c, v in r.items()):
         found.append("negative money")
         passed = False
     if len(answer.strip()) < 30:

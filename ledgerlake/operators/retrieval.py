@@ -13,54 +13,44 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w+\b"), F.lit(0))
 
 
-def sections(text: str) -> list[tuple[str, str, str]]:
-    """(title, section, body) of a Markdown text cut at headings of level 1 to 4."""
-    title, section, body, out = "", "Overview", [], []
-
-    def close():
-        if "\n".join(body).strip():
-            out.append((title, section, "\n".join(body).strip()))
-        body.clear()
-
-    for line in text.split("\n"):
-        m = re.match(r"(#{1,4})\s+(.*)", line)
-        if not m:
-            body.append(line)
-            continue
-        close()
-        if len(m[1]) == 1:
-            title, section = m[2].strip(), "Overview"
-        else:
-            section = m[2].strip()
-    close()
-    return out
-
-
-def pack(body: str, size: int = 400, overlap: int = 50) -> list[str]:
-    """Paragraphs packed to ``size`` characters; each chunk begins with the end of the one before. Long paragraphs stay whole."""
-    if len(body) <= size:
-        return [body]
-    out, held = [], ""
-    for p in filter(None, (x.strip() for x in re.split(r"\n\s*\n", body))):
-        if held and len(held) + len(p) + 2 > size:
-            out.append(held)
-            held = held[-overlap:] + "\n\n" + p
-        else:
-            held = f"{held}\n\n{p}" if held else p
-    return out + [held] if held else out
-
-
-def chunk(docs: DataFrame) -> DataFrame:
-    """RG1: source, doc_title, section, chunk_id, text, char_count of (source, text) rows."""
+def chunk(docs: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
+    """RG1: source, doc_title, section, chunk_id, text, char_count of (source, text) rows.
+
+    A Markdown text is cut at headings of level 1 to 4; a section's paragraphs are packed to ``size`` characters,
+    each chunk beginning with the end of the one before; long paragraphs stay whole.  Chunks are numbered through
+    the document.  Without a heading of level 1 the title is that of the file name.
+    """
+
+    def pack(body):
+        if len(body) <= size:
+            return [body]
+        done, held = [], ""
+        for p in filter(None, (x.strip() for x in re.split(r"\n\n+", body))):
+            if held and len(held) + len(p) + 2 > size:
+                done.append(held.strip())
+                held = held[-overlap:].strip() + "\n\n" + p
+            else:
+                held = f"{held}\n\n{p}".strip() if held else p
+        return done + [held.strip()] if held.strip() else done
+
+    def rows_of(source, text):
+        title, section, n = (source or "").replace(".md", "").replace("_", " ").title(), "Overview", 0
+        for part in filter(None, map(str.strip, re.split(r"(?m)^(#{1,4} .+)$", text or ""))):
+            head = re.match(r"(#{1,4}) (.+)$", part)
+            if head is None:
+                for c in pack(part):
+                    yield source, title, section, f"{source}::{section}::{n}", c, len(c)
+                    n += 1
+            elif len(head[1]) == 1:
+                title, section = part.lstrip("#").strip(), "Overview"
+            else:
+                section = part.lstrip("#").strip()
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = []
-            for source, text in zip(pdf["source"], pdf["text"]):
-                for title, section, body in sections(text or ""):
-                    rows += [(source, title, section, f"{source}::{section}::{i}", c, len(c)) for i, c in enumerate(pack(body))]
+            rows = [r for source, text in zip(pdf["source"], pdf["text"]) for r in rows_of(source, text)]
             yield pd.DataFrame(rows, columns=["source", "doc_title", "section", "chunk_id", "text", "char_count"])
 
     return docs.select("source", "text").mapInPandas(run, "source string, doc_title string, section string, chunk_id string, text string, char_count long")

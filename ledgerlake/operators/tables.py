@@ -20,6 +20,7 @@ FEATURES = {
     "dashbord": "dashboard", "analytic": "analytics", "custome_reports": "custom_reports", "custm_reports": "custom_reports", "integartion": "integration", "integrtion": "integration",
     "repoting": "reporting", "reportng": "reporting", "sandox": "sandbox", "sndbx": "sandbox", "exprots": "exports", "exprt": "exports",
 }
+#: What stands for a missing value, and the keys of the tables.
 FILL = {"loyalty_tier": "unknown", "company": "Unknown", "payment_method": "unknown", "category": "uncategorized", "channel": "unknown", "agent_name": "unassigned", "resolution_text": "", "device": "unknown", "plan_name": "unknown"}
 KEYS = {"customers": "customer_id", "transactions": "transaction_id", "subscriptions": "subscription_id", "invoices": "invoice_id", "support_tickets": "ticket_id", "product_usage": "usage_id"}
 CLEANERS = {
@@ -47,8 +48,10 @@ def typed(df: DataFrame) -> DataFrame:
 def clean(name: str, raw: DataFrame, today: str | None = None) -> DataFrame:
     """A raw table cleaned: deduplicated on its key, typed, filled, with its quality flags."""
     key = KEYS[name]
-    df = raw.distinct() if name == "product_usage" else raw
-    df = keep_first(df.withColumn("_ordinal", F.monotonically_increasing_id()), key).drop("_ordinal")
+    df = raw.withColumn("_ordinal", F.monotonically_increasing_id())  # the place in the scan, before any shuffle
+    if name == "product_usage":
+        df = df.groupBy(*raw.columns).agg(F.min("_ordinal").alias("_ordinal"))
+    df = keep_first(df, key).drop("_ordinal")
     df = typed(df)
     has = set(df.columns)
     now = F.lit(today).cast("date") if today else F.current_date()

@@ -55,6 +55,25 @@ def _cleaned(s, d):
     return x.select("o_orderkey", C.currency(F.col("amount")).alias("amount"), C.date(F.col("day")).alias("day"), C.boolean(F.col("flag")).cast("int").alias("flag"), C.rating(F.col("score")).alias("score"), C.canonical(C.category(F.col("priority")), T.PRIORITIES).alias("priority"))
 
 
+def _raw_transactions(s, d):
+    """Strings as a CSV file holds them, every fourth amount negative, made by the same rule as in the oracle."""
+    k = F.col("o_orderkey")
+    return _read(s, d, "orders").select(
+        F.concat(F.lit("t"), k).alias("transaction_id"), F.col("o_custkey").cast("string").alias("customer_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("transaction_date"),
+        F.concat(F.when(k % 4 == 0, "-").otherwise("$"), (k % 1000).cast("string"), F.lit(".50")).alias("amount"), F.when(k % 2 == 0, "usd").otherwise("Eur").alias("currency"), F.when(k % 3 == 0, " Completed ").otherwise("FAILED").alias("status"), F.when(k % 5 > 0, "Card").alias("payment_method"),
+    )
+
+
+def _raw_usage(s, d):
+    """Every event twice, durations and counts made from its number by the same rule as in the oracle."""
+    k, e = F.col("event_id"), _read(s, d, "events")
+    rows = e.select(
+        F.concat(F.lit("u"), k).alias("usage_id"), F.when(k % 7 > 0, F.col("user_id").cast("string")).alias("customer_id"), F.when(k % 3 == 0, "dashbord").when(k % 3 == 1, "Analytic").otherwise("sandox").alias("feature_name"),
+        (k % 50 - 5).cast("string").alias("session_duration_seconds"), F.when(k % 11 == 0, "20000").otherwise((k % 9).cast("string")).alias("usage_count"), F.when(k % 4 > 0, "Web").alias("device"),
+    )
+    return rows.unionByName(rows)
+
+
 def _keep_first(s, d):
     return T.keep_first(_read(s, d, "lineitem"), "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -62,7 +81,7 @@ def _keep_first(s, d):
 def _nearest(s, d, k=10):
     v = _read(s, d, "embeddings")
     q = v.where("vec_id = 0").select("embedding").first()
-    return R.nearest(v, q[0], k).select("vec_id", F.round("score", 4).alias("score")) if q else R.nearest(v, [1.0], k)
+    return R.nearest(v, q[0] if q else [1.0], k)
 
 
 def _hybrid(s, d, k=10):
@@ -84,6 +103,7 @@ QUERIES = {
     "db1_dashboard": lambda s, d: B.dashboard(*_v("customers", "subscriptions", "tickets")(s, d)),
     "rv1_revenue_monthly": lambda s, d: M.revenue(view(s, d, "transactions"), FIRST, LAST, "monthly"),
     "rv1_revenue_weekly": lambda s, d: M.revenue(view(s, d, "transactions"), FIRST, LAST, "weekly"),
+    "rv1_revenue_daily": lambda s, d: M.revenue(view(s, d, "transactions"), FIRST, LAST, "daily"),
     "rv1_recurring": lambda s, d: M.recurring(view(s, d, "subscriptions")),
     "sg1_rfm": lambda s, d: M.rfm(view(s, d, "transactions"), LAST),
     "sg2_churn_risk": lambda s, d: M.churn_risk(*_v("customers", "usage_events", "tickets")(s, d), ref=USAGE_REF, days=7),
@@ -93,7 +113,7 @@ QUERIES = {
     "an1_rolling": lambda s, d: M.anomalies(_daily(s, d), REF, 365, 1.5, "rolling"),
     "fc1_linear": lambda s, d: M.forecast(_monthly(s, d), 180, "linear"),
     "fc1_exponential": lambda s, d: M.forecast(_monthly(s, d), 90, "exponential"),
-    "rg2_knn": _nearest,
+    "rg2_knn": lambda s, d: _nearest(s, d).select("vec_id", F.round("score", 4).alias("score")),
     "rg3_bm25": lambda s, d: R.bm25(_read(s, d, "documents"), QUERY, "doc_id").select("doc_id", F.round("bm25", 4).alias("bm25")),
     "rg4_hybrid": _hybrid,
     "kr1_keyword": lambda s, d: R.keyword(_read(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("section")), QUERY, 10).select("chunk_id", F.round("score", 4).alias("score")),
@@ -102,6 +122,8 @@ QUERIES = {
     "pr1_duplicates": lambda s, d: Q.duplicates(_read(s, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey"),
     "val2_orphans": lambda s, d: Q.orphans(_read(s, d, "orders").where("o_custkey is not null"), "o_custkey", _read(s, d, "customer").where("c_custkey % 23 <> 0"), "c_custkey").select("value"),
     "val3_amounts": lambda s, d: Q.non_positive(_read(s, d, "customer"), "c_acctbal"),
+    "val3_amounts_zero": lambda s, d: Q.non_positive(_read(s, d, "customer"), "c_acctbal", allow_zero=True),
+    "val1_null_keys": lambda s, d: Q.null_keys({"customer": _read(s, d, "customer"), "events": _read(s, d, "events").withColumn("event_id", F.when(F.col("event_id") % 10 > 0, F.col("event_id")))}, {"customer": "c_custkey", "events": "event_id"}),
     "val4_dates": lambda s, d: Q.null_dates(view(s, d, "subscriptions"), "end_date"),
     "val5_overlaps": lambda s, d: Q.overlaps(view(s, d, "subscriptions")),
     "cln_columns": _cleaned,
@@ -111,6 +133,10 @@ QUERIES = {
     "gv2_mask": lambda s, d: _read(s, d, "documents").select("doc_id", F.md5(C.mask_pii(F.col("text")).cast("binary")).alias("masked_md5")),
     "src5_calendar": lambda s, d: calendar(s, FIRST, LAST),
     "stm1_daily": lambda s, d: S.daily(_read(s, d, "events")),
+    "stm2_sliding": lambda s, d: S.sliding(_read(s, d, "events")).select("day", "n", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std")),
+    "ag13_tier_counts": lambda s, d: M.distribution(M.usage_tier(view(s, d, "usage_events"), USAGE_REF), "tier").withColumnRenamed("count", "n"),
+    "cln13_to_18_transactions": lambda s, d: T.clean("transactions", _raw_transactions(s, d), "2024-01-01"),
+    "cln8_to_17_usage": lambda s, d: T.clean("product_usage", _raw_usage(s, d), "2024-01-01"),
     "stm3_sessions": lambda s, d: S.sessions(_read(s, d, "events")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n")),
 }
 
@@ -222,8 +248,8 @@ ORACLE = {
     "rg2_knn": """with q as (select embedding as v from embeddings where vec_id = 0) select vec_id, round(list_cosine_similarity(cast(embedding as double[]), cast(v as double[])), 4) as score from embeddings, q
         order by list_cosine_similarity(cast(embedding as double[]), cast(v as double[])) desc, vec_id limit 10""",
     "rg3_bm25": f"with {_BM25} select doc_id, round(bm25, 4) as bm25 from b",
-    "rg4_hybrid": f"""with {_BM25}, q as (select embedding as v from embeddings where vec_id = 0), k as (select vec_id as doc_id, round(list_cosine_similarity(cast(embedding as double[]), cast(v as double[])), 4) as sem from embeddings, q
-        order by list_cosine_similarity(cast(embedding as double[]), cast(v as double[])) desc, vec_id limit 10),
+    "rg4_hybrid": f"""with {_BM25}, q as (select embedding as v from embeddings where vec_id = 0), k as (select vec_id as doc_id, list_cosine_similarity(cast(embedding as double[]), cast(v as double[])) as sem from embeddings, q
+        order by list_cosine_similarity(cast(embedding as double[]), cast(v as double[])) desc, vec_id limit 30),
         h as (select coalesce(k.doc_id, b.doc_id) as doc_id, 0.7e0 * coalesce(least(greatest(sem, 0), 1), 0) + 0.3e0 * coalesce(bm25, 0) as s from k full join b on k.doc_id = b.doc_id)
         select doc_id, round(s, 4) as score from h where s > 0 order by s desc, doc_id limit 10""",
     "kr1_keyword": """with w as (select doc_id, lower(text) as t, lower(source) as sec, list_distinct(regexp_extract_all(lower(text), '[0-9a-z_\\pL]+')) as ws from documents),
@@ -233,6 +259,10 @@ ORACLE = {
         r as (select x, value as level, value - value as off from s where x = 1 union all select s.x, 0.3e0 * s.value + 0.7e0 * r.level, 0.3e0 * s.value + 0.7e0 * r.level - s.value from r join s on s.x = r.x + 1),
         f as (select (select level from r order by x desc limit 1) as v, (select 1.96e0 * stddev_pop(off) from r) as ci, (select max(last) from s) as last), i as (select unnest(generate_series(1, 3)) as i)
         select strftime(last + i * interval 1 month, '%Y-%m') as month, round(v, 2) as predicted, round(v - ci, 2) as low, round(v + ci, 2) as high from f, i""",
+    "pr1_profile": " union all ".join(
+        f"""select '{c}' as "column", count(*) as n_rows, count(*) - count({c}) as n_null, count(distinct {c}) as n_unique, min(try_cast({c} as double)) as min, median(try_cast({c} as double)) as median, max(try_cast({c} as double)) as max from customer"""
+        for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    ),
     "pr1_duplicates": "select (select sum(n - 1) from (select count(*) as n from lineitem group by l_orderkey, l_linenumber)) as duplicate_rows, (select sum(n - 1) from (select count(*) as n from lineitem group by l_orderkey)) as duplicate_keys",
     "val2_orphans": "select count(*) as value from orders where o_custkey not in (select c_custkey from customer where c_custkey % 23 <> 0)",
     "val3_amounts": "select count(*) as value from customer where c_acctbal <= 0",
@@ -244,6 +274,17 @@ ORACLE = {
         case o_orderkey % 3 when 0 then 1 when 1 then 0 end as flag, case o_orderkey % 4 when 0 then 4e0 when 1 then 4e0 when 2 then 5e0 end as score, case o_orderkey % 3 when 0 then 'critical' when 2 then 'low' end as priority from orders""",
     "cln7_keep_first": """select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) as rn from lineitem) where rn = 1""",
     "cln6_plain_text": r"""select page_id, length(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '[*_`#~]', '', 'g'), '^\s+|\s+$', '', 'g'), '')) as n from pages""",
+    "val3_amounts_zero": "select count(*) as value from customer where c_acctbal < 0",
+    "val1_null_keys": "select 'null_pk' as check, 'customer' as key, count(*) filter (where c_custkey is null) as value from customer union all select 'null_pk', 'events', count(*) filter (where event_id is null or event_id % 10 = 0) from events",
+    "stm2_sliding": """with w as (select ts, value, cast(unnest(generate_series(date_trunc('day', ts) - interval 6 day, date_trunc('day', ts), interval 1 day)) as date) as day from events)
+        select day, count(*) as n, round(avg(value), 3) as mean, round(stddev_samp(value), 3) as std from w group by 1""",
+    "ag13_tier_counts": f"""with t as (select customer_id, count(*) as n from usage_events where customer_id is not null and session_date >= date '{USAGE_REF}' - 90 group by 1)
+        select case when n <= 4 then 'Dormant' when n <= 15 then 'Casual' when n <= 49 then 'Regular' else 'Power User' end as tier, count(*) as n from t group by 1""",
+    "cln13_to_18_transactions": """select 't' || o_orderkey as transaction_id, cast(o_custkey as varchar) as customer_id, cast(o_orderdate as date) as transaction_date, o_orderkey % 1000 + 0.5e0 as amount, case when o_orderkey % 2 = 0 then 'USD' else 'EUR' end as currency,
+        case when o_orderkey % 3 = 0 then 'completed' else 'failed' end as status, case when o_orderkey % 5 > 0 then 'card' else 'unknown' end as payment_method, case when o_orderkey % 4 = 0 then 1 else 0 end as was_negative from orders""",
+    "cln8_to_17_usage": """select 'u' || event_id as usage_id, case when event_id % 7 > 0 then cast(user_id as varchar) end as customer_id, case event_id % 3 when 0 then 'dashboard' when 1 then 'analytics' else 'sandbox' end as feature_name,
+        case when event_id % 50 > 5 then cast(event_id % 50 - 5 as double) end as session_duration_seconds, case when event_id % 11 = 0 then 20000e0 else cast(event_id % 9 as double) end as usage_count, case when event_id % 4 > 0 then 'web' else 'unknown' end as device,
+        case when event_id % 50 <= 5 then 1 else 0 end as duration_invalid, case when event_id % 11 = 0 then 1 else 0 end as usage_count_outlier, case when event_id % 7 = 0 then 1 else 0 end as customer_id_missing from events""",
     "src5_calendar": f"""select cast(strftime(d, '%Y%m%d') as int) as date_id, d as full_date, cast(year(d) as int) as year, cast(quarter(d) as int) as quarter, cast(month(d) as int) as month, monthname(d) as month_name, cast(weekofyear(d) as int) as week_of_year,
         cast(day(d) as int) as day_of_month, cast(isodow(d) - 1 as int) as day_of_week, dayname(d) as day_name, case when isodow(d) >= 6 then 1 else 0 end as is_weekend, case when day(d) = 1 then 1 else 0 end as is_month_start,
         case when d = last_day(d) then 1 else 0 end as is_month_end, 'FQ' || quarter(d) || '-' || year(d) as fiscal_quarter from (select cast(unnest(generate_series(date '{FIRST}', date '{LAST}', interval 1 day)) as date) as d)""",
@@ -261,6 +302,7 @@ def _period_sql(bucket: str, spine: str) -> str:
 
 ORACLE["rv1_revenue_monthly"] = _period_sql("last_day(transaction_date)", "select last_day(cast(unnest(generate_series(date_trunc('month', min(period)), max(period), interval 1 month)) as date)) as period from o")
 ORACLE["rv1_revenue_weekly"] = _period_sql("cast(transaction_date + cast((7 - isodow(transaction_date)) as int) as date)", "select cast(unnest(generate_series(min(period), max(period), interval 7 days)) as date) as period from o")
+ORACLE["rv1_revenue_daily"] = _period_sql("transaction_date", "select cast(unnest(generate_series(min(period), max(period), interval 1 day)) as date) as period from o")
 _TIERS = G.RULES
 ORACLE["gv1_classify"] = (
     "with q as (select conv_id, turn, case turn % 3 when 0 then 'please delete ' || text when 1 then 'export all ' || text else text end as q from conversations), r as (select conv_id, turn, case "

@@ -22,8 +22,10 @@ def _plain(v):
         return "nan" if math.isnan(v) else f"{round(v, 3) + 0.0:.3f}"
     if isinstance(v, int):
         return f"{v}"
-    if isinstance(v, (datetime.datetime, datetime.date)):
-        return str(v)[:10]
+    if isinstance(v, datetime.datetime):
+        return str(v) if v.time() != datetime.time() else str(v.date())
+    if isinstance(v, datetime.date):
+        return str(v)
     return str(v)
 
 

@@ -114,3 +114,30 @@ def test_streaming(spark, tmp_path):
     q = streams.daily(stream).writeStream.outputMode("complete").format("memory").queryName("daily_counts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("daily_counts").agg(F.sum("n")).first()[0] == 200
+
+
+def test_money_columns_of_reflection():
+    answer = "Revenue was 5 in the month of May."
+    assert not G.reflect("revenue?", "select sum(amount)", answer, [{"Paid_Amount": -5}])[0]
+    assert not G.reflect("revenue?", "select sum(amount)", answer, [{"subtotal": -5.0}])[0]
+    assert G.reflect("revenue?", "select sum(amount)", answer, [{"arr": -5}])[0]
+
+
+def test_masking_of_nested_values(spark):
+    df = spark.sql("select named_struct('a', 'jane@x.org', 'n', 3) as s, array('call 555-123-4567', null) as l, map('k', array('bob@x.org')) as m, 7 as n")
+    assert G.mask_all(df).first().asDict(True) == {"s": {"a": "ja***@x.org", "n": 3}, "l": ["call[PHONE REDACTED]", None], "m": {"k": ["bo***@x.org"]}, "n": 7}
+
+
+def test_chunks_are_numbered_through_the_document(spark):
+    long = "\n\n".join(f"paragraph {i} " + "word " * 30 for i in range(4))
+    text = f"before any heading\n\n## Terms\n{long}\n\n## Terms\nmore of it"
+    rows = retrieval.chunk(spark.createDataFrame([("refund_policy.md", text)], "source string, text string")).collect()
+    assert [r["chunk_id"] for r in rows] == [f"refund_policy.md::{s}::{i}" for i, s in enumerate(["Overview", *["Terms"] * (len(rows) - 1)])]
+    assert {r["doc_title"] for r in rows} == {"Refund Policy"} and all(r["text"] == r["text"].strip() for r in rows)
+    assert retrieval.chunk(spark.createDataFrame([("a.md", "# One\nx")], "source string, text string")).first()["doc_title"] == "One"
+
+
+def test_first_row_of_a_key_stays(spark):
+    raw = spark.createDataFrame([("u1", f"c{i}", "sandox", "5", "1") for i in range(400)], "usage_id string, customer_id string, feature_name string, session_duration_seconds string, usage_count string").repartition(1)
+    first = raw.first()["customer_id"]
+    assert [r["customer_id"] for r in tables.clean("product_usage", raw.coalesce(1)).collect()] == [first]
