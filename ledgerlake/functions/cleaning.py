@@ -41,6 +41,11 @@ def category(c: Column) -> Column:
     return F.when(~low.isin(*MISSING), low)
 
 
+def full_name(first: Column, last: Column) -> Column:
+    """Null if either part is null."""
+    return F.concat(first, F.lit(" "), last)
+
+
 def boolean(c: Column) -> Column:
     low = F.lower(strip(c))
     return F.when(low.isin(*TRUE), True).when(low.isin(*FALSE), False)

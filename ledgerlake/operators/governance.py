@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from ledgerlake.functions.cleaning import mask_pii
 
@@ -73,6 +75,19 @@ def confidence_warning(confidence: float) -> str | None:
     return "low confidence: check before use" if confidence < 0.5 else None
 
 
+def apply_all(df: DataFrame, confidence: float | None = None, most: int = MAX_ROWS) -> tuple[DataFrame, list[str]]:
+    """GV2 to GV4: the first rows, masked, and the warnings."""
+    rows, omitted = limit_rows(df, most)
+    doubt = confidence_warning(confidence) if confidence is not None else None
+    return mask_all(rows), [w for w in (omitted, doubt) if w]
+
+
+def routing(calls: DataFrame) -> DataFrame:
+    """``calls`` with what is missing of ``expected_tools`` in ``tools_used``, whether nothing is, and whether any is there."""
+    missing = F.array_sort(F.array_except("expected_tools", "tools_used"))
+    return calls.withColumns({"missing": missing, "passed": F.size(missing) == 0, "any_expected": F.arrays_overlap("expected_tools", "tools_used")})
+
+
 def reflect(question: str, sql: str, answer: str, rows: list[dict]) -> tuple[bool, list[str]]:
     """GV5: whether SQL, values and answer fit the question, and what does not."""
     found, passed = [], True
@@ -127,15 +142,16 @@ class Audit(Log):
     def history(self, limit: int = 20, offset: int = 0, tool: str | None = None, classification: str | None = None) -> tuple[int, DataFrame]:
         df = self.read()
         if tool:
-            df = df.where(F.array_contains("tools_used", tool))
+            df = df.where(F.exists("tools_used", lambda t: t.contains(tool)))
         if classification:
             df = df.where(F.col("classification") == classification)
         return df.count(), df.orderBy(F.desc("timestamp"), "id").offset(offset).limit(min(limit, 1000))
 
     def stats(self) -> tuple[DataFrame, DataFrame]:
-        """Rows by class, and the five tools used most."""
+        """Rows by class, and the five tools used most in the last 200 rows."""
         df = self.read()
-        return df.groupBy("classification").count(), df.select(F.explode("tools_used").alias("tool")).groupBy("tool").count().orderBy(F.desc("count"), "tool").limit(5)
+        last = df.orderBy(F.desc("timestamp"), "id").limit(200)
+        return df.groupBy("classification").count(), last.select(F.explode("tools_used").alias("tool")).groupBy("tool").count().orderBy(F.desc("count"), "tool").limit(5)
 
 
 class Queue(Log):
@@ -154,6 +170,9 @@ class Queue(Log):
     def pending(self) -> DataFrame:
         return self.state().where("status = 'pending'").orderBy(F.desc("timestamp"))
 
+    def list_all(self, limit: int = 100) -> DataFrame:
+        return self.state().orderBy(F.desc("timestamp")).limit(limit)
+
     def get(self, key: str):
         return self.state().where(F.col("id") == key).first()
 
@@ -169,14 +188,21 @@ class Queue(Log):
         return self.state().groupBy("status").count()
 
 
-def guarded_sql(spark: SparkSession, question: str, sql: str, audit: Audit, queue: Queue, max_rows: int = 50) -> dict:
-    """GV6: classified before it runs; blocked and reviewed requests do not run; results are limited and masked; all is logged."""
+def guarded_sql(spark: SparkSession, question: str, sql: str, audit: Audit, queue: Queue, max_rows: int = 50, repair: Callable[[str, str], str] | None = None) -> dict:
+    """GV6: classified before it runs; blocked and reviewed requests do not run; results are limited
+    (1 to 500 rows) and masked; all is logged.  SQL that cannot be analysed is tried once more as ``repair(sql, error)`` gives it."""
+    max_rows = min(max(max_rows, 1), 500)
     c = spark.range(1).select(classify(F.lit(question), F.lit(sql)).alias("c")).first()["c"]
     verdict, data, entry = c["classification"], None, None
     if not sql.lstrip().lower().startswith(("select", "with")):
         verdict = "blocked"
     if verdict == "safe":
-        data = mask_all(spark.sql(sql).limit(max_rows))
+        try:
+            found = spark.sql(sql)
+        except AnalysisException as e:
+            again = guarded_sql(spark, question, repair(sql, str(e)), audit, queue, max_rows) if repair else {"classification": verdict, "rule": c["rule"], "data": None, "queue_id": None, "error": str(e)}
+            return again
+        data = mask_all(found.limit(max_rows))
     elif verdict == "requires_review":
         entry = queue.enqueue(question, sql, verdict, c["rule"])
     audit.record(user_question=question, tools_used=["sql"], generated_sql=sql, classification=verdict, result_summary=json.dumps({"rule": c["rule"]}), approval_status="pending" if entry else "not_required")

@@ -66,5 +66,8 @@ def overlaps(subs: DataFrame, statuses: tuple[str, ...] = ("active", "paused"),
 
 
 def report(checks: DataFrame) -> DataFrame:
-    """check, key, value with PASS, WARN or (null keys) FAIL."""
-    return checks.withColumn("status", F.when(F.col("value") == 0, "PASS").when(F.col("check") == "null_pk", "FAIL").otherwise("WARN"))
+    """check, key, value, status, sample, note: PASS, WARN, (null keys) FAIL or (what has a note) INFO."""
+    more = {c: F.lit(None).cast("string") for c in ("sample", "note") if c not in checks.columns}
+    checks = checks.withColumns(more) if more else checks
+    status = F.when(F.length("note") > 0, "INFO").when(F.col("value") == 0, "PASS").when(F.col("check") == "null_pk", "FAIL").otherwise("WARN")
+    return checks.select("check", "key", "value", status.alias("status"), "sample", "note")

@@ -28,7 +28,7 @@ def chunk(docs: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
         for p in filter(None, (x.strip() for x in re.split(r"\n\n+", body))):
             if held and len(held) + len(p) + 2 > size:
                 done.append(held.strip())
-                held = held[-overlap:].strip() + "\n\n" + p
+                held = held[-overlap:].strip() + "\n\n" + p if overlap else p
             else:
                 held = f"{held}\n\n{p}".strip() if held else p
         return done + [held.strip()] if held.strip() else done
@@ -56,6 +56,10 @@ def chunk(docs: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
     return docs.select("source", "text").mapInPandas(run, "source string, doc_title string, section string, chunk_id string, text string, char_count long")
 
 
+def citation(source: str, section: str) -> Column:
+    return F.concat(F.lit("[Source: "), F.col(source), F.lit(" — "), F.col(section), F.lit("]"))
+
+
 def postings(docs: DataFrame, key: str) -> DataFrame:
     """key, term, tf, dl: built once, read by every query."""
     words = docs.select(key, tokens(F.coalesce("text", F.lit(""))).alias("_w")).select(key, F.size("_w").alias("dl"), F.explode("_w").alias("term"))

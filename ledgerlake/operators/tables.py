@@ -83,10 +83,10 @@ def clean_all(raw: dict[str, DataFrame], today: str | None = None) -> dict[str,
 
 
 def summary(raw: dict[str, DataFrame], cleaned: dict[str, DataFrame]) -> DataFrame:
-    """table_name, raw_rows, clean_rows, removed, and the sum of each table's flags."""
+    """table_name, raw_rows, clean_rows, removed, the sum of each table's flags, and null_rates by column."""
     rows = []
     for n, df in cleaned.items():
         flags = [c for c in df.columns if c.endswith(("_missing", "_invalid", "_outlier", "_flag", "was_negative", "is_future_start"))]
         total = reduce(lambda a, b: a + b, [F.coalesce(F.sum(c), F.lit(0)) for c in flags], F.lit(0)).cast("long")
-        rows.append(raw[n].agg(F.count("*").alias("raw_rows")).crossJoin(df.agg(F.count("*").alias("clean_rows"), total.alias("flagged"))).select(F.lit(n).alias("table_name"), "raw_rows", "clean_rows", (F.col("raw_rows") - F.col("clean_rows")).alias("removed"), "flagged"))
+        rows.append(raw[n].agg(F.count("*").alias("raw_rows")).crossJoin(df.agg(F.count("*").alias("clean_rows"), total.alias("flagged"), F.create_map(*[x for c in df.columns for x in (F.lit(c), F.avg(F.col(c).isNull().cast("int")))]).alias("null_rates"))).select(F.lit(n).alias("table_name"), "raw_rows", "clean_rows", (F.col("raw_rows") - F.col("clean_rows")).alias("removed"), "flagged", "null_rates"))
     return reduce(DataFrame.unionByName, rows)

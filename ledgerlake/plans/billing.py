@@ -25,15 +25,22 @@ def double(c: Column, digits: int = 2) -> Column:
     return F.round(c, digits).cast("double")
 
 
+def ranked(df: DataFrame, score: str, name: str) -> DataFrame:
+    """The dense rank of a score that is never null, largest first; one task orders the distinct scores only, not all rows."""
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc(score))
+    return df.join(df.select(score).distinct().withColumn(name, F.dense_rank().over(order)), score)
+
+
 def _cohorts(customers: DataFrame, transactions: DataFrame, month: Column) -> DataFrame:
     base = customers.where("signup_date is not null").select("customer_id", "signup_date", F.date_format("signup_date", "yyyy-MM").alias("cohort_month"))
     base = base.withColumn("cohort_size", F.count("customer_id").over(W.partitionBy("cohort_month")))
     paid = transactions.where("status = 'completed' and transaction_date is not null").select("customer_id", "transaction_date", "amount")
-    both = base.join(paid, "customer_id").withColumn("m", month)
-    amount = F.col("amount").cast("decimal(18,4)")
+    # one row for each customer and month first, so that distinct customers are plain counts
+    both = base.join(paid, "customer_id").withColumn("m", month).withColumn("m", F.when(F.col("m").isin(1, 2, 3, 6, 12), F.col("m")))
+    both = both.groupBy("cohort_month", "cohort_size", "customer_id", "m").agg(money("amount").alias("amount"))
     aggs = []
     for m in (1, 2, 3, 6, 12):
-        aggs += [double(F.coalesce(F.sum(F.when(F.col("m") == m, amount)), F.lit(0))).alias(f"rev_m{m}"), F.countDistinct(F.when(F.col("m") == m, F.col("customer_id"))).alias(f"n_m{m}")]
+        aggs += [double(F.coalesce(F.sum(F.when(F.col("m") == m, F.col("amount"))), F.lit(0))).alias(f"rev_m{m}"), F.count_if(F.col("m") == m).alias(f"n_m{m}")]
     out = both.groupBy("cohort_month", "cohort_size").agg(*aggs)
     return out.select("cohort_month", "cohort_size", *[f"rev_m{m}" for m in (1, 2, 3, 6, 12)], *[share(F.col(f"n_m{m}"), F.col("cohort_size")).alias(f"ret_m{m}") for m in (1, 2, 3, 6, 12)])
 
@@ -99,8 +106,7 @@ def health(customers: DataFrame, transactions: DataFrame, tickets: DataFrame, us
     # the parts have two decimals, so their weighted sum is exact in decimals
     weights = {"recency_score": "0.30", "support_score": "0.25", "usage_score": "0.25", "payment_score": "0.20"}
     raw = sum((F.coalesce(c, F.lit(50.0)).cast("decimal(10,2)") * F.lit(w).cast("decimal(4,2)") for c, w in weights.items()), F.lit(0).cast("decimal(10,4)"))
-    ranked = all_.withColumn("raw", raw).withColumn("health_rank", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(F.desc("raw"))))
-    return ranked.select("customer_id", *[F.coalesce(c, F.lit(50.0)).alias(c) for c in weights], double(F.col("raw")).alias("health_score"), "health_rank")
+    return ranked(all_.withColumn("raw", raw), "raw", "health_rank").select("customer_id", *[F.coalesce(c, F.lit(50.0)).alias(c) for c in weights], double(F.col("raw")).alias("health_score"), "health_rank")
 
 
 def double_billing(subscriptions: DataFrame) -> DataFrame:
@@ -124,11 +130,13 @@ def ticket_funnel(tickets: DataFrame) -> DataFrame:
     t = t.withColumns({"a": by("response_hours"), "b": by("resolution_hours")})
     mid = t.groupBy("priority").agg(F.avg(F.when(F.col("b") == 50, F.col("resolution_hours"))).alias("p50"))
     done = F.col("status").isin("closed", "resolved")
-    return t.join(mid, "priority").groupBy("priority").agg(
+    out = t.join(mid, "priority").groupBy("priority").agg(
         F.count("ticket_id").alias("total_tickets"), F.round(F.avg(F.when(F.col("a") == 50, F.col("response_hours"))), 2).alias("p50_response_hours"), F.round(F.first("p50"), 2).alias("p50_resolution_hours"),
         F.round(F.avg(F.when(F.col("b") >= 95, F.col("resolution_hours"))), 2).alias("p95_resolution_hours"), share(F.count_if(done & (F.col("is_escalated") == 0)), F.count_if(done)).alias("fcr_rate_pct"),
         share(F.count_if(F.col("is_escalated") == 1), F.count("ticket_id")).alias("escalation_rate_pct"), F.count_if(F.col("resolution_hours") > 2 * F.col("p50")).alias("outlier_tickets"), F.round(F.avg("resolution_hours"), 2).alias("avg_resolution_hours"),
     )
+    rank = F.when(F.col("priority") == "critical", 1).when(F.col("priority") == "high", 2).when(F.col("priority") == "medium", 3).when(F.col("priority") == "low", 4).otherwise(5)
+    return out.orderBy(rank, "priority")
 
 
 def pareto(transactions: DataFrame, customers: DataFrame) -> DataFrame:
@@ -170,7 +178,7 @@ def churn_signals(customers: DataFrame, usage: DataFrame, tickets: DataFrame, da
     parts = {"usage_decline": 0, "ticket_spike": 0, "rating_drop": 0, "no_recent_login": 1}
     c = c.select("customer_id", "name", *[F.coalesce(k, F.lit(v)).alias(k) for k, v in parts.items()])
     c = c.withColumn("churn_score", sum((F.col(k) for k in parts), F.lit(0)))
-    c = c.withColumn("churn_rank", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(F.desc("churn_score"))))
+    c = ranked(c, "churn_score", "churn_rank").select(*c.columns, "churn_rank")
     return c.orderBy(F.desc("churn_score"), "customer_id").limit(top) if top else c
 
 

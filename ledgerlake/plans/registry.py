@@ -11,6 +11,7 @@ from ledgerlake.operators import retrieval as R
 from ledgerlake.operators import tables as T
 from ledgerlake.plans import billing as B
 from ledgerlake.plans import metrics as M
+from ledgerlake.plans import tool_queries
 from ledgerlake.plans.views import oracle, view
 from ledgerlake.sources.readers import calendar
 from ledgerlake.streaming import events as S
@@ -311,6 +312,10 @@ ORACLE["gv1_classify"] = (
 )
 
 
+QUERIES |= tool_queries.QUERIES
+ORACLE |= tool_queries.oracle(ORACLE)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +47,11 @@ def calendar(spark: SparkSession, start: str = "2021-01-01", end: str = "2026-12
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """source (file name), text (whole file)."""
-    return spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
+    """source (file name), text (whole file) by source; a folder without Markdown is an error."""
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text")).orderBy("source")
+    if found.isEmpty():
+        raise FileNotFoundError(f"no Markdown in {folder}")
+    return found
 
 
 def labelled_sql(text: str) -> dict[str, str]:
@@ -56,8 +60,14 @@ def labelled_sql(text: str) -> dict[str, str]:
     return {k: v.strip().rstrip(";").strip() for k, v in zip(parts[1::2], parts[2::2])}
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """None where there is no index."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def query(spark: SparkSession, sql: str, **args) -> DataFrame:

@@ -4,6 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def append_to(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """An append-only Parquet log of a stream: takes what is there and ends; the next run goes on from the checkpoint."""
+    return rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def job_state(query: StreamingQuery) -> dict:
+    """What a caller polls: running, done or failed, and the rows read so far."""
+    failed = query.exception()
+    status = "failed" if failed else "running" if query.isActive else "done"
+    return {"id": query.id, "status": status, "rows": sum(p["numInputRows"] for p in query.recentProgress), "error": str(failed) if failed else None}
 
 
 def timed(events: DataFrame) -> DataFrame:
