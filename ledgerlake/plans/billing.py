@@ -42,7 +42,7 @@ def _cohorts(customers: DataFrame, transactions: DataFrame, month: Column) -> Da
     for m in (1, 2, 3, 6, 12):
         aggs += [double(F.coalesce(F.sum(F.when(F.col("m") == m, F.col("amount"))), F.lit(0))).alias(f"rev_m{m}"), F.count_if(F.col("m") == m).alias(f"n_m{m}")]
     out = both.groupBy("cohort_month", "cohort_size").agg(*aggs)
-    return out.select("cohort_month", "cohort_size", *[f"rev_m{m}" for m in (1, 2, 3, 6, 12)], *[share(F.col(f"n_m{m}"), F.col("cohort_size")).alias(f"ret_m{m}") for m in (1, 2, 3, 6, 12)])
+    return out.select("cohort_month", "cohort_size", *[f"rev_m{m}" for m in (1, 2, 3, 6, 12)], *[share(F.col(f"n_m{m}"), F.col("cohort_size")).alias(f"ret_m{m}") for m in (1, 2, 3, 6, 12)]).orderBy("cohort_month")
 
 
 def cohort(customers: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def waterfall(subscriptions: DataFrame, start: str, end: str, whole_months: bool
     cols = [F.date_format("month", "yyyy-MM").alias("month"), "new_mrr", "expansion_mrr", "contraction_mrr", "churned_mrr", double(F.col("net")).alias("net_new_mrr")]
     if whole_months:
         cols.append(double(F.sum("net").over(W.partitionBy(F.lit(0)).orderBy("month").rowsBetween(W.unboundedPreceding, 0))).alias("cumulative_mrr"))
-    return out.select(*cols)
+    return out.select(*cols).orderBy("month")
 
 
 def health(customers: DataFrame, transactions: DataFrame, tickets: DataFrame, usage: DataFrame, invoices: DataFrame, recent_days: int = 90) -> DataFrame:
@@ -160,7 +160,7 @@ def feature_funnel(usage: DataFrame, recent_days: int = 30) -> DataFrame:
     who = F.col("customer_id")
     n = F.countDistinct(who)
     active, power = F.countDistinct(F.when(F.col("n") > 1, who)), F.countDistinct(F.when(F.col("recent") >= 5, who))
-    return per.groupBy("feature_name").agg(n.alias("reached"), active.alias("activated"), power.alias("power_users"), share(active, n).alias("activation_rate"), share(power, n).alias("power_rate"), F.round(F.avg("n"), 2).alias("avg_sessions"), F.round(F.avg("recent"), 2).alias("avg_recent_sessions"))
+    return per.groupBy("feature_name").agg(n.alias("reached"), active.alias("activated"), power.alias("power_users"), share(active, n).alias("activation_rate"), share(power, n).alias("power_rate"), F.round(F.avg("n"), 2).alias("avg_sessions"), F.round(F.avg("recent"), 2).alias("avg_recent_sessions")).orderBy("activation_rate", "feature_name")
 
 
 def churn_signals(customers: DataFrame, usage: DataFrame, tickets: DataFrame, days: int = 30, login_days: int = 14, top: int | None = 50, usage_ref: str | None = None, ticket_ref: str | None = None) -> DataFrame:
